@@ -1,15 +1,23 @@
-"""Token ids of whole texts, with a tokenizer of the tokenizers library on the executors."""
+"""Token ids of whole texts, with a tokenizer of the tokenizers library on the executors.
+
+Byte-level BPE never merges across the pieces that its pattern cuts a text into, so each distinct piece is encoded
+once by the library and remembered; texts are the concatenation of their pieces' ids. This holds for characters
+whose classes are the same in every Unicode version; a text with any other character, or with the tokenizer's
+added tokens, is encoded by the library as a whole.
+"""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
 #: The id that ends every document.
 END_ID = 0
+# Characters whose classes don't change, and the pattern of byte-level pre-tokenization.
+SETTLED = r"[\t\n\r\x20-\x7e\xa0-ͯ‐-‧‰-⁞€]*"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -18,29 +26,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    from tokenizers import Tokenizer
+class Encoder:
+    """Encodes texts; remembers at most `most` pieces, so memory stays bounded."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        kind = json.loads(self.tokenizer.to_str())
+        plain = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and (kind["pre_tokenizer"] or {}) | {"trim_offsets": 0} == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": 0, "use_regex": True,
+        }
+        self.settled = regex.compile(SETTLED).fullmatch if plain else lambda _: None
+        self.cut = regex.compile(PIECES).findall
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Tokenizer.from_file(path)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text with the end id appended."""
+        out: list[bytes | list[str]] = []
+        for text in texts:
+            if self.settled(text) and not any(a in text for a in self.added):
+                out.append(self.cut(text))
+            else:
+                out += self._whole([text])
+        if len(self.known) > self.most:
+            self.known = {}
+        if new := list({p for x in out if isinstance(x, list) for p in x if p not in self.known}):
+            for at in range(0, len(new), 20_000):  # encodings are large
+                self.known.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000])))
+        end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
+        return [np.frombuffer((b"".join(map(get, x)) if isinstance(x, list) else x) + end, "<u4") for x in out]
 
 
-def encode(texts: list[str], path: str, most: int = 1 << 18) -> Iterator[np.ndarray]:
-    """The ids of each text with the end id appended; about `most` characters at a time, as encodings are large."""
-    tokenizer, held, size = _load(path), [], 0
+_encoders: dict[str, Encoder] = {}
 
-    def flush() -> Iterator[np.ndarray]:
-        for e in tokenizer.encode_batch_fast(held, add_special_tokens=False):
-            ids = e.ids
-            ids.append(END_ID)
-            yield np.array(ids, np.uint32)
 
+def encode(texts: list[str], path: str, most: int = 1 << 19) -> Iterator[np.ndarray]:
+    """The ids of each text with the end id appended; about `most` characters at a time. One encoder for each worker."""
+    encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+    held, size = [], 0
     for text in texts:
         held.append(text)
         size += len(text)
         if size >= most:
-            yield from flush()
+            yield from encoder.encode(held)
             held, size = [], 0
-    yield from flush()
+    yield from encoder.encode(held)
