@@ -9,15 +9,26 @@ added tokens, is encoded by the library as a whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 
 #: The id that ends every document.
 END_ID = 0
-# Characters whose classes don't change, and the pattern of byte-level pre-tokenization.
-SETTLED = r"[\t\n\r\x20-\x7e\xa0-ͯ‐-‧‰-⁞€]*"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END = np.array([END_ID], "<u4").tobytes()
+# Code points whose classes don't change (Latin with its marks, punctuation), as first and last.
+SETTLED = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA0, 0x36F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
+
+
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """What finds a character that isn't settled, and what cuts settled text into the pieces of byte-level pre-tokenization."""
+    settled = [chr(c) for a, b in SETTLED for c in range(a, b + 1)]
+    of = lambda test: "".join(re.escape(c) for c in settled if test(c))
+    letters, numbers, spaces = of(lambda c: category(c)[0] == "L"), of(lambda c: category(c)[0] == "N"), of(str.isspace)
+    pieces = rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+    return re.compile(f"[^{of(lambda c: True)}]"), re.compile(pieces)
 
 
 def default_tokenizer() -> str:
@@ -29,12 +40,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts; remembers at most `most` pieces, so memory stays bounded."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -42,8 +52,8 @@ class Encoder:
         plain = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and (kind["pre_tokenizer"] or {}) | {"trim_offsets": 0} == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": 0, "use_regex": True,
         }
-        self.settled = regex.compile(SETTLED).fullmatch if plain else lambda _: None
-        self.cut = regex.compile(PIECES).findall
+        unsettled, pieces = patterns()
+        self.unsettled, self.cut = unsettled.search if plain else lambda _: True, pieces.findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
@@ -52,19 +62,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id appended."""
-        out: list[bytes | list[str]] = []
-        for text in texts:
-            if self.settled(text) and not any(a in text for a in self.added):
-                out.append(self.cut(text))
-            else:
-                out += self._whole([text])
         if len(self.known) > self.most:
             self.known = {}
-        if new := list({p for x in out if isinstance(x, list) for p in x if p not in self.known}):
-            for at in range(0, len(new), 20_000):  # encodings are large
-                self.known.update(zip(new[at : at + 20_000], self._whole(new[at : at + 20_000])))
-        end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer((b"".join(map(get, x)) if isinstance(x, list) else x) + end, "<u4") for x in out]
+        out, get, new = [], self.known.get, {}
+        for text in texts:
+            if self.unsettled(text) or any(a in text for a in self.added):
+                out.append(self._whole([text]))
+                continue
+            pieces = self.cut(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                new.update((p, None) for p, x in zip(pieces, ids) if x is None)
+                ids = pieces
+            out.append(ids)
+        if new:
+            self.known.update(zip(new, self._whole(list(new))))
+        return [np.frombuffer(b"".join([*(map(self.known.__getitem__, x) if x and isinstance(x[0], str) else x), END]), "<u4") for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
