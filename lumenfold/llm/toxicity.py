@@ -41,6 +41,8 @@ PATTERNS = (
     rb"[*#@$%]{3,}", rb"(?i)\b[a-z]+\*+[a-z]*\b",
 )
 HASHED = 1 << 15
+#: A voter that doesn't fire counts half: silence of many voters is one event, as a toxic text holds a few insults of many.
+SILENCE = 0.5
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,7 @@ class LabelModel:
     def logits(self, votes: np.ndarray) -> np.ndarray:
         on = np.log(self.fires[1] / self.fires[0])
         off = np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        return np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + (1 - votes) @ (self.weight * off)
+        return np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + SILENCE * ((1 - votes) @ (self.weight * off))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(votes), -40, 40)))
