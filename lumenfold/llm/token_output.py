@@ -41,9 +41,7 @@ def _lengths(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, ...]:
     """Of blocks as rows: minimum, deltas, width and where the exceptions are."""
     least = ids.min(1)
     deltas = ids - least[:, None]
-    bits = np.zeros(deltas.shape, np.uint8)
-    for k in range(32):
-        bits += (deltas >> np.uint32(k)) > 0
+    bits = np.frexp(deltas.astype(np.float64))[1].astype(np.uint8)  # how many bits each needs
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
     width = np.partition(bits, at, axis=1)[:, at]
     return least, deltas, width, bits > width[:, None]
@@ -59,8 +57,8 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     packed: list[bytes] = [b""] * len(filled)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        bits = (kept[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        data = np.packbits(bits.reshape(len(rows), -1).astype(np.uint8), axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8)
+        bits = np.unpackbits(kept[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
+        data = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
         for r, d in zip(rows, data):
             packed[r] = d.tobytes()
     n_out = outlier.sum(1)
@@ -83,8 +81,10 @@ def unpack(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
         rows = np.flatnonzero(width == w)
         size = BLOCK * int(w) // 8
         bits = np.unpackbits(raw[begins[rows][:, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        for k in range(int(w)):
-            out[rows] |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+        # bits to whole bytes first, then at most four shifts
+        filled = np.zeros((len(rows), BLOCK, 32), np.uint8)
+        filled[:, :, :w] = bits
+        out[rows] = np.packbits(filled, axis=2, bitorder="little").view("<u4")[:, :, 0]
     for r in np.flatnonzero(n_out):
         at, m = int(begins[r]) + 6 + BLOCK * int(width[r]) // 8, int(n_out[r])
         out[r, raw[at : at + m]] = np.frombuffer(data, "<u4", count=m, offset=at + m)
