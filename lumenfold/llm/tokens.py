@@ -39,9 +39,9 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts; remembers at most `most` pieces, so memory stays bounded."""
+    """Encodes texts. Remembers at most `most` pieces in two generations, so that memory stays bounded and common pieces stay known."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import json
@@ -57,14 +57,15 @@ class Encoder:
         self.unsettled, self.cut = unsettled.search if plain else lambda _: True, pieces.findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id appended."""
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
         out, get, new = [], self.known.get, {}
         for text in texts:
             if self.unsettled(text) or any(a in text for a in self.added):
@@ -76,8 +77,10 @@ class Encoder:
                 new.update((p, None) for p, x in zip(pieces, ids) if x is None)
                 ids = pieces
             out.append(ids)
-        if new:
-            self.known.update(zip(new, self._whole(list(new))))
+        if seen := self.older.keys() & new.keys():
+            self.known.update((p, self.older[p]) for p in seen)
+        if unseen := list(new.keys() - seen):
+            self.known.update(zip(unseen, self._whole(unseen)))
         return [np.frombuffer(b"".join([*(map(self.known.__getitem__, x) if x and isinstance(x[0], str) else x), END]), "<u4") for x in out]
 
 
