@@ -35,6 +35,8 @@ from .tokens import default_tokenizer, encode
 MAGIC, VERSION, BLOCK = b"LFPF", 1, 128
 HEADER = struct.Struct("<4sHHIQI")
 NO_ID = -(1 << 63)
+#: So many rows of a part's number and its first id are broadcast at most (about 16 MB).
+MOST_PARTS = 1 << 20
 
 
 def _lengths(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, ...]:
@@ -142,7 +144,9 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     """A row for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, all from the shards."""
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    placed = shards.join(before, "part").select((F.col("before") + F.col("first")).alias("start"), "payload")
+    # a few bytes for each writing task: beside them the payloads needn't be shuffled, unless there are very many tasks
+    few = totals.count() <= MOST_PARTS
+    placed = shards.join(F.broadcast(before) if few else before, "part").select((F.col("before") + F.col("first")).alias("start"), "payload")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in batches:
