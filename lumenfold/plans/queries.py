@@ -216,8 +216,8 @@ _MATCHES = """(SELECT key, id, min(score) AS score, min(context) AS context, min
 
 @query(f"""SELECT s.key, n, n_high, n_medium, top_score, mean_top3, mean_score, top_context, mean_context, offset_std, orientation, round(c / n, 4) AS orientation_share, coalesce(offset_std <= 6.0, false) AS offset_consistent,
            CASE WHEN n >= 2 AND n_high >= 2 AND mean_top3 >= 0.9 THEN 'high' WHEN n >= 2 AND mean_top3 >= 0.82 THEN 'medium' ELSE 'low' END AS level
-           FROM (SELECT key, count(*) AS n, count(*) FILTER (score >= 0.9) AS n_high, count(*) FILTER (score >= 0.82 AND score < 0.9) AS n_medium, max(score) AS top_score, round(round(avg(score) FILTER (r <= 3), 9), 4) AS mean_top3, round(round(avg(score), 9), 4) AS mean_score,
-                 max(context) AS top_context, round(round(avg(context), 9), 4) AS mean_context, CASE WHEN count(*) >= 2 THEN round(stddev_pop(o), 4) END AS offset_std FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, context DESC, id) AS r FROM {_MATCHES}) GROUP BY key) s
+           FROM (SELECT key, count(*) AS n, count(*) FILTER (score >= 0.9) AS n_high, count(*) FILTER (score >= 0.82 AND score < 0.9) AS n_medium, max(score) AS top_score, floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) FILTER (r <= 3) + count(score) FILTER (r <= 3)) / (2.0 * count(score) FILTER (r <= 3))) / 10000.0 AS mean_top3, floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) + count(score)) / (2.0 * count(score))) / 10000.0 AS mean_score,
+                 max(context) AS top_context, floor((2 * sum(CAST(round(context * 10000) AS BIGINT)) + count(context)) / (2.0 * count(context))) / 10000.0 AS mean_context, CASE WHEN count(*) >= 2 THEN round(stddev_pop(o), 4) END AS offset_std FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, context DESC, id) AS r FROM {_MATCHES}) GROUP BY key) s
            JOIN (SELECT key, orientation, c FROM (SELECT key, orientation, c, row_number() OVER (PARTITION BY key ORDER BY c DESC, orientation = 'none' DESC, f) AS k FROM (SELECT key, orientation, count(*) AS c, min(r) AS f FROM
                  (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, context DESC, id) AS r FROM {_MATCHES}) GROUP BY 1, 2)) WHERE k = 1) m ON s.key = m.key""", False)
 def match_group_stats(spark: SparkSession, d: str) -> DataFrame:
