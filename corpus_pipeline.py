@@ -44,7 +44,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: A trained classifier and a tokenizer can't be said in SQL; tests hold run() against a brute-force version.
+#: A trained classifier and a tokenizer cannot be said in SQL; each stage's operator has its own tests.
 ORACLE_SQL = None
 
 
