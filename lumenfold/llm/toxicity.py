@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,11 @@ from .ngrams import ascii_words
 
 # Insults that vote before any label is seen.
 INSULTS = tuple("bastard bitch clown crap cretin damn disgusting dumb dumbass filth fool freak garbage hate idiot imbecile jerk loser moron pathetic pig retard scum shit shut stupid sucks trash ugly vermin worthless".split())
-# Patterns that vote.
+# Patterns that vote, with literals of which a text must hold one, both on texts with A-Z lowered unless a literal is None.
 PATTERNS = (
-    rb"(?i)\byou(?:'re| are)? (?:all )?(?:such )?an? ", rb"(?i)\bshut up\b", rb"(?i)\bgo to hell\b", rb"!{3,}", rb"\b[A-Z]{4,}\b[^a-z]{1,3}\b[A-Z]{4,}\b", rb"(?i)\b(?:kill|hurt) (?:you|them|him|her)\b",
-    rb"[*#@$%]{3,}", rb"(?i)\b[a-z]+\*+[a-z]*\b",
+    ((b"you",), rb"you(?<=\byou)(?:'re| are)? (?:all )?(?:such )?an? "), ((b"shut up",), rb"\bshut up\b"), ((b"go to hell",), rb"\bgo to hell\b"), ((b"!!!",), rb"!{3}"),
+    (None, rb"[A-Z]{4}(?<![A-Za-z0-9_][A-Z]{4})[A-Z]*\b[^a-z]{1,3}\b[A-Z]{4,}\b"), ((b"kill ", b"hurt "), rb"\b(?:kill|hurt) (?:you|them|him|her)\b"),
+    ((b"*", b"#", b"@", b"$", b"%"), rb"[*#@$%]{3}"), ((b"*",), rb"\b[a-z]+\*+[a-z]*\b"),
 )
 HASHED = 1 << 15
 #: A voter that doesn't fire counts half: silence of many voters is one event, as a toxic text holds a few insults of many.
@@ -48,19 +51,23 @@ SILENCE = 0.5
 @dataclass(frozen=True)
 class Voters:
     words: tuple[bytes, ...]
-    patterns: tuple[bytes, ...] = PATTERNS
+    patterns: tuple[tuple[tuple[bytes, ...] | None, bytes], ...] = PATTERNS
 
     def __len__(self) -> int:
         return len(self.words) + len(self.patterns)
 
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        return {w: k for k, w in enumerate(self.words)}
+
     def votes(self, text: bytes, words: set[bytes]) -> int:
         """A bit for each voter that fires."""
-        out = 0
-        for k, w in enumerate(self.words):
-            if w in words:
-                out |= 1 << k
-        for k, p in enumerate(self.patterns, len(self.words)):
-            if re.search(p, text):
+        out, low = 0, text.lower()
+        for w in self.places.keys() & words:
+            out |= 1 << self.places[w]
+        for k, (literals, p) in enumerate(self.patterns, len(self.words)):
+            # most texts lack the literals, which are found much faster than patterns
+            if re.search(p, text) if literals is None else any(x in low for x in literals) and re.search(p, low):
                 out |= 1 << k
         return out
 
@@ -161,9 +168,11 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8) ->
     return LabelModel(model.fires, model.prior, 1 / (1 + together.sum(1)) if k else model.weight)
 
 
-def features(words: set[bytes], votes: int, k: int) -> tuple[list[int], float]:
-    """Hashed words (behind the k votes), and what each is worth."""
-    cells = sorted({k + xxh64_intdigest(w, 5) % HASHED for w in words})
+def features(words: set[bytes], k: int) -> tuple[np.ndarray, float]:
+    """Places of hashed words (behind the k votes), ascending, and what each is worth."""
+    hashes = np.fromiter(map(xxh64_intdigest, words, repeat(5)), np.uint64, len(words)) % np.uint64(HASHED)
+    hashes.sort()
+    cells = hashes[np.diff(hashes, prepend=np.uint64(HASHED)) != 0].astype(np.int64) + k
     return cells, 0.3 / max(1.0, len(cells)) ** 0.5
 
 
@@ -178,7 +187,7 @@ class Toxicity:
     def score(self, text: bytes) -> float:
         words = set(ascii_words(text))
         votes, k = self.voters.votes(text, words), len(self.voters)
-        cells, worth = features(words, votes, k)
+        cells, worth = features(words, k)
         x = self.base + sum(self.weights[j] for j in range(k) if votes >> j & 1) + worth * float(self.weights[cells].sum())
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
@@ -224,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text in as_bytes(batch, "text"):
                 found = set(ascii_words(text))
                 out["votes"].append(voters.votes(text, found))
-                out["cells"].append(features(found, 0, k)[0])
+                out["cells"].append(features(found, k)[0])
             yield out
 
     schema = "votes long, toxic int, cells array<int>"
