@@ -195,15 +195,25 @@ class Toxicity:
 def train_linear(votes: np.ndarray, cells: list[np.ndarray], target: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by full-batch Adam with a little shrinkage."""
     k, n = votes.shape[1], len(target)
-    rows = np.repeat(np.arange(n), [len(c) for c in cells])
+    sizes = np.array([len(c) for c in cells], np.int64)
     flat = np.concatenate(cells) if n else np.zeros(0, np.int64)
-    worth = np.array([0.3 / max(1.0, len(c)) ** 0.5 for c in cells])
+    worth = 0.3 / np.maximum(1.0, sizes) ** 0.5
+    # sums over runs, by row and by cell: where the runs that aren't empty begin
+    filled = np.flatnonzero(sizes)
+    by_row = (np.cumsum(sizes) - sizes)[filled]
+    order = np.argsort(flat, kind="stable")
+    used, by_cell = np.unique(flat[order], return_index=True)
+    rows = np.repeat(np.arange(n), sizes)[order]
     w, b = np.zeros(k + HASHED), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / (1 - np.clip(target.mean(), 1e-3, 0.999)))) if n else 0.0
     m, v = np.zeros(k + HASHED + 1), np.zeros(k + HASHED + 1)
     for t in range(1, steps + 1):
-        x = b + votes @ w[:k] + worth * np.bincount(rows, w[flat], n)
+        x = b + votes @ w[:k]
+        if len(flat):
+            x[filled] += worth[filled] * np.add.reduceat(w[flat], by_row)
         error = (1 / (1 + np.exp(-np.clip(x, -40, 40))) - target) / max(1, n)
-        g = np.concatenate([error @ votes, np.bincount(flat - k, (error * worth)[rows], HASHED) if n else np.zeros(HASHED), [error.sum()]])
+        g = np.concatenate([error @ votes, np.zeros(HASHED), [error.sum()]])
+        if len(flat):
+            g[used] += np.add.reduceat((error * worth)[rows], by_cell)
         g[:-1] += 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
