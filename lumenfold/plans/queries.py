@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import labels
+from ..functions.render import escaped
 from ..operators import evidence, greedy, sequences, similarity, spatial
 from ..sources.readers import expand_pages, layout_matches
+from ..sources.sinks import panel_totals
 from . import fixtures as fx
 from .fixtures import SQL_VIEWS, table
 
@@ -284,3 +286,14 @@ def review_merge(spark: SparkSession, d: str) -> DataFrame:
 def layout_regex(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("Figure "), "page_id", F.lit(". (A-B. shown) C. end"))
     return table(spark, d, "pages").select("page_id", F.transform(layout_matches(line), lambda m: m["text"]).alias("found"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages""", False)
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", escaped(C("html")).alias("escaped"))
+
+
+@query("""SELECT count(*) AS panels, count(*) FILTER (l_returnflag = 'A') AS ocr_labels, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS text_filtered, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS small_filtered FROM lineitem""", False)
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    source = F.when(C("l_returnflag") == "A", "ocr").otherwise("row_major")
+    return panel_totals(table(spark, d, "lineitem").select(source.alias("label_source"), C("l_linenumber").alias("text_filtered"), C("l_quantity").alias("small_filtered")))
