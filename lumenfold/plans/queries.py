@@ -246,7 +246,7 @@ def keep_if_far(spark: SparkSession, d: str) -> DataFrame:
 def nms_fold(spark: SparkSession, d: str) -> DataFrame:
     x0, y0 = F.expr("cast(l_quantity as int) + cast(l_discount * 1000 as int)"), F.lit(0)
     rows = table(spark, d, "lineitem").select(C("l_suppkey").alias("key"), F.expr("l_orderkey * 10 + l_linenumber").alias("id"), g.box(x0, y0, x0 + C("l_quantity").cast("int"), y0 + 10).alias("box"), C("l_extendedprice").alias("score"))
-    return greedy.non_maximum_suppression(sequences.first_n(rows, ["key"], [F.desc("score"), "id"], 60), "key")
+    return greedy.non_maximum_suppression(rows, "key")
 
 
 @query()
