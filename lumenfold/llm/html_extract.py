@@ -4,10 +4,13 @@ Markup is stripped to lines, one for each block-level element; what names itself
 article (navigation, headers of the page, footers, sidebars, adverts, forms, scripts, styles, notices, comments of
 readers) loses its text first. The lengths of text outside links are summed over sliding windows of `window` lines;
 where the sum rises over the threshold the text surges, where it falls to nothing it dives, and lines between surge
-and dive are text. Where a page marks its article (<article>, <main> or a declared role), the marks are the surge
-and the dive, so that short lines at its edges stay.
+and dive are text. Marks of an article (<article>, <main> or a declared role) refine the edges: marked lines are
+text, so that short ones at the edges stay, and unmarked lines beside them are text if they surge on their own.
+Where no sum of a page reaches the threshold, its marked lines are the text; without marks the threshold is half of
+the page's largest sum.
 
-Defined results: null and empty pages, and pages without main text, give the empty text; an unclosed or cut tag
+Defined results: null and empty pages, and pages without main text (no text outside links, or unmarked and neither
+two words nor a full stop), give the empty text; an unclosed or cut tag
 ends with the page; repeated rows are each extracted; the empty table gives the empty table; other columns are
 ignored.
 """
@@ -15,7 +18,9 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +47,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 # Parts of a class name that make it the name of something around or within the article.
 AROUND = frozenset("article body container content entry has layout main no page post story text with without wrap wrapper".split())
 SPACE = re.compile(r"\s+")
+SAYS = re.compile(r"\S\s+[^\s<]|[.!?…。！？]$")  # a tag cut by the end of the page says nothing
 
 
 class Lines(HTMLParser):
@@ -136,19 +142,41 @@ def between_surges(lengths: list[int], window: int, surge: int) -> tuple[int, in
     return first, last + 1
 
 
+def stretches(values: list[bool]) -> Iterator[tuple[bool, int, int]]:
+    """Runs of equal values: value, begin, end."""
+    at = 0
+    for value, run in groupby(values):
+        begin, at = at, at + sum(1 for _ in run)
+        yield value, begin, at
+
+
+def chosen(lengths: list[int], marked: list[bool], window: int, surge: int, says: bool) -> list[bool]:
+    """Which lines are text; lengths: of text outside links; says: whether they say something without marks."""
+    found = between_surges(lengths, window, surge)
+    if not found and says and not any(marked):
+        peak = max(sum(lengths[k : k + window]) for k in range(len(lengths)))
+        found = between_surges(lengths, window, max(1, peak // 2))
+    a, b = found or (0, 0)
+    kept = [a <= k < b or m for k, m in enumerate(marked)]
+    for text, i, j in stretches([n > 0 or m for n, m in zip(lengths, marked)]):
+        if not text and j - i >= window:  # the sum falls to nothing
+            kept[i:j] = [False] * (j - i)
+    if any(marked[a:b]):
+        for mark, i, j in stretches(marked):
+            if not mark and not between_surges(lengths[i:j], window, surge):
+                kept[i:j] = [False] * (j - i)
+    return kept
+
+
 def extract(html: str, window: int = 3, surge: int = 80) -> str:
     """The main text of the whole page, blocks joined by two line feeds."""
     parser = Lines()
     parser.feed(html)
     lines = parser.finish()
-    if any(inside for _, _, inside in lines):
-        return "\n\n".join(t for t, _, inside in lines if inside)
     lengths = [0 if 2 * linked > len(t) else len(t) - linked for t, linked, _ in lines]
-    found = between_surges(lengths, window, surge)
-    if not found:
-        return ""
-    a, b = found
-    return "\n\n".join(t for (t, _, _), n in zip(lines[a:b], lengths[a:b]) if n)
+    says = any(n and SAYS.search(t) for (t, _, _), n in zip(lines, lengths))
+    kept = chosen(lengths, [inside for _, _, inside in lines], window, surge, says)
+    return "\n\n".join(t for (t, _, _), keep in zip(lines, kept) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, window: int = 3, surge: int = 80) -> DataFrame:
