@@ -6,7 +6,7 @@ run() writes each stage's result to the shared folder and reads it again as the
 
 from __future__ import annotations
 
-from lumenfold.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from lumenfold.llm import decontaminate, exact_dedup, near_copies, packing, simhash, toxicity
 from lumenfold.llm.common import Workspace, table
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +22,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, the document with the smallest doc_id."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group that SimHash links, the document with the smallest doc_id; of these, none with four in five five-word shingles of another."""
+    return near_copies.without_near_copies(simhash.keep_one_of_each(docs))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
