@@ -10,7 +10,8 @@ step of the same pass over the documents, which are neither shuffled nor read ag
 70 bytes for each byte of a block.
 
 Defined results: null and empty texts have no words and no hits; items without words never occur; repeated rows
-are each judged; equal item ids are one item; the empty table gives the empty table; without a benchmark nothing
+are each judged; equal item ids are one item; items without an id hit like others, count as one item and are left
+out of the names; the empty table gives the empty table; without a benchmark nothing
 is hit. Other columns are ignored, or kept by `keep_clean`.
 """
 
@@ -30,9 +31,9 @@ from .ngrams import ascii_words as words_of
 class ItemIndex:
     """Windows of benchmark items by fingerprint."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.window, self.k = window, (window + 1) // 2
-        self.items: dict[bytes, set[str]] = defaultdict(set)
+        self.items: dict[bytes, set[str | None]] = defaultdict(set)
         hashes, prints, short = WordHashes(), [np.zeros(0, np.uint64)], defaultdict(list)
         for name, text in items:
             words = words_of(text)
@@ -56,7 +57,7 @@ class ItemIndex:
             return np.zeros(len(mine), bool)
         return theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
 
-    def occurrences(self, words: list[bytes], coded: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def occurrences(self, words: list[bytes], coded: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Half-open word spans of all windows that occur, and their items."""
         spans, names = [], set()
         grams = ngram_hashes(coded, self.k)
@@ -76,7 +77,7 @@ class ItemIndex:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[Broadcast]:
     """The items as broadcast indexes, each of a bounded part of the benchmark."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), text_of(text_col).alias("text")).where("name IS NOT NULL")
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), text_of(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // block_bytes + 1
     out = []
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, text_col: str, benchmark: DataFrame, *, item_id_col: s
             for text in texts:
                 words = words_of(text)
                 spans, names = index.occurrences(words, hashes.of(words))
-                for column, value in zip(made.values(), (len(words), _merged(spans), sorted(names))):
+                for column, value in zip(made.values(), (len(words), _merged(spans), list(names))):
                     column.append(value)
             return made
 
