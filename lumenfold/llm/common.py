@@ -10,18 +10,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: XXH64 of nothing in particular: names of the helper columns start like this, so that no input column can clash.
-TEMP = "__lf_"
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, lengthened until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary
-    folder is made and put in its place.
+    It is the cluster's spark.checkpoint.dir. Only where that is unset and everything runs in one process (tests)
+    a temporary folder is made and put in its place; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,110 +1,217 @@
 """Toxicity by weak supervision.
 
-Many voters - lexicon words and patterns - fire or don't on each whole text. A generative model of two classes,
+Many voters - words, word starts and patterns - fire or don't on each whole text. A generative model of two classes,
 fitted by expectation maximisation to how often each combination of votes occurs in all documents, estimates how
-each voter fires in either class; what voters of one class share beyond that (their correlation) lowers their
-weight, so that voters that say the same thing don't count twice. The model's posterior labels train a linear
-classifier over the votes and hashed words, which scores every text.
-
-Labels are used for two things: to choose lexicon voters (words that toxic rows have far more often) and to start
-the generative model. They come from the given rows only; the caller leaves held-out rows away.
-
-Bounded: at most `sample` labelled rows, chosen by a hash of their ids, choose words and train the classifier (a
-documented parameter). Vote combinations are counted over all documents, on the executors; what reaches the driver
-is a few sums for each pair of at most 62 voters.
-
-Defined results: null and empty texts have no votes and get the classifier's base score; labels of one id that
-disagree count as toxic; null ids have no label; repeated rows are each scored; without labels the model starts
-from the fixed lexicon; the empty table gives the empty table; other columns are ignored, or kept by keep_mild.
+each voter fires in either class and how the voters of a class go together; both are estimated anew in every round,
+and voters that go together share their weight in the next one, so that voters that say the same thing don't count
+twice. The model's posterior labels train a linear classifier over the votes and the shares of words and word starts
+in the text, which scores every text.
+
+Voters are mined from labelled rows: a word, or the first 4 to 8 bytes of words, votes if it occurs at all, or if it
+makes up one in 200 or one in 100 words, whichever tells the classes apart best. Every candidate that does so beyond
+what chance gives among so many candidates votes, without a limit on their number; of nested ones (a word, its
+starts) those that tell best. A start is a character n-gram that compounds of one stem share.
+
+Labels are used to mine voters, to start the generative model and as one more vote of a known accuracy on the
+training rows. They come from the given rows only; the caller leaves held-out rows away.
+
+Bounded: at most `sample` labelled rows, chosen by a hash of their ids, mine voters and train the classifier (a
+documented parameter; of texts that share their least shingle hash, as copies and most near copies do, one counts, or
+the words of a text that was copied a thousand times would all look like insults). Vote combinations are counted over all documents, on the
+executors; what reaches the driver is bounded by the sample and by a few sums for each pair of voters.
+
+Defined results: null and empty texts have no votes and get the classifier's base score; bytes that aren't UTF-8 are
+replaced; labels of one id that disagree count as toxic; null ids have no label; repeated rows are each scored;
+without labels of both classes the model starts from the fixed lexicon and is itself the classifier; the empty table
+gives the empty table; other columns are ignored, or kept by keep_mild.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_hexdigest
 
-from .common import Workspace, annotate, arrow_rows, as_bytes, small_slices, text_of
-from .ngrams import ascii_words
+from .common import Workspace, annotate, arrow_rows, as_bytes, fresh, small_slices, text_of
+from .ngrams import WordHashes, ascii_words, ngram_hashes
 
 # Insults that vote before any label is seen.
 INSULTS = tuple("bastard bitch clown crap cretin damn disgusting dumb dumbass filth fool freak garbage hate idiot imbecile jerk loser moron pathetic pig retard scum shit shut stupid sucks trash ugly vermin worthless".split())
-# Patterns that vote, with literals of which a text must hold one, both on texts with A-Z lowered unless a literal is None.
+# Patterns that vote, with literals of which a text must hold one, both on texts with letters lowered unless a literal is None.
 PATTERNS = (
     ((b"you",), rb"you(?<=\byou)(?:'re| are)? (?:all )?(?:such )?an? "), ((b"shut up",), rb"\bshut up\b"), ((b"go to hell",), rb"\bgo to hell\b"), ((b"!!!",), rb"!{3}"),
     (None, rb"[A-Z]{4}(?<![A-Za-z0-9_][A-Z]{4})[A-Z]*\b[^a-z]{1,3}\b[A-Z]{4,}\b"), ((b"kill ", b"hurt "), rb"\b(?:kill|hurt) (?:you|them|him|her)\b"),
     ((b"*", b"#", b"@", b"$", b"%"), rb"[*#@$%]{3}"), ((b"*",), rb"\b[a-z]+\*+[a-z]*\b"),
 )
-HASHED = 1 << 15
+#: A gram votes from one of these shares of a text's words on (zero: if it occurs), with so many words added to each text.
+LEVELS, EXTRA = (0.0, 0.005, 0.01), 20
+#: How many first bytes of a word are its starts, and from how many bytes on a digest stands for a whole word.
+STARTS, LONGEST = (4, 5, 6, 7, 8), 64
+#: What a share counts for in the classifier: one word in fifty is worth 1.
+WORTH = 50.0
 #: A voter that doesn't fire counts half: silence of many voters is one event, as a toxic text holds a few insults of many.
 SILENCE = 0.5
+#: The accuracy of a given label, as a vote on its own row.
+LABEL_ACCURACY = 0.95
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters with all letters lowered."""
+    return ascii_words(text.decode(errors="replace").lower().encode())
+
+
+def grams_of(word: bytes) -> list[bytes]:
+    """The whole word, marked by a blank, and its starts."""
+    whole = word if len(word) <= LONGEST else xxh3_128_hexdigest(word).encode()
+    return [whole + b" ", *(word[:k] for k in STARTS if k < len(word))]
+
+
+def likeness(text: bytes) -> int:
+    """The least hash of a text's three-word shingles, which most of its near copies share."""
+    words = words_in(text)
+    return int(ngram_hashes(WordHashes().of(words), min(3, len(words))).min() >> np.uint64(1)) if words else 0
+
+
+class Known(dict):
+    """Of each word met so far the numbers of its grams that matter; forgets all when full, so memory stays bounded."""
+
+    def __init__(self, numbers: dict[bytes, int], most: int = 1 << 19):
+        super().__init__()
+        self.numbers, self.most = numbers, most
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = tuple(self.numbers[g] for g in grams_of(word) if g in self.numbers)
+        return out
 
 
 @dataclass(frozen=True)
 class Voters:
-    words: tuple[bytes, ...]
+    """grams: the words and starts that are features; chosen: (gram's number, level) of those that vote, before the patterns."""
+
+    grams: tuple[bytes, ...]
+    chosen: tuple[tuple[int, int], ...]
     patterns: tuple[tuple[tuple[bytes, ...] | None, bytes], ...] = PATTERNS
 
     def __len__(self) -> int:
-        return len(self.words) + len(self.patterns)
+        return len(self.chosen) + len(self.patterns)
 
     @cached_property
-    def places(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words)}
-
-    def votes(self, text: bytes, words: set[bytes]) -> int:
-        """A bit for each voter that fires."""
-        out, low = 0, text.lower()
-        for w in self.places.keys() & words:
-            out |= 1 << self.places[w]
-        for k, (literals, p) in enumerate(self.patterns, len(self.words)):
+    def known(self) -> Known:
+        return Known({g: k for k, g in enumerate(self.grams)})
+
+    @cached_property
+    def levels(self) -> dict[int, tuple[int, float]]:
+        """Voter and least share by gram."""
+        return {g: (k, LEVELS[level]) for k, (g, level) in enumerate(self.chosen)}
+
+    def __getstate__(self) -> dict:  # what is remembered of words stays behind
+        return {"grams": self.grams, "chosen": self.chosen, "patterns": self.patterns}
+
+    def read(self, text: bytes) -> tuple[list[int], dict[int, float]]:
+        """The voters that fire, ascending, and the share of each gram that occurs."""
+        words, found, known = words_in(text), Counter(), self.known
+        for w, n in Counter(words).items():
+            for g in known[w]:
+                found[g] += n
+        shares = {g: n / (len(words) + EXTRA) for g, n in found.items()}
+        fired = [at[0] for g, share in shares.items() if (at := self.levels.get(g)) and share >= at[1]]
+        low = text.lower()
+        for k, (literals, p) in enumerate(self.patterns, len(self.chosen)):
             # most texts lack the literals, which are found much faster than patterns
             if re.search(p, text) if literals is None else any(x in low for x in literals) and re.search(p, low):
-                out |= 1 << k
-        return out
+                fired.append(k)
+        return sorted(fired), shares
 
 
-def bits(masks: np.ndarray, n: int) -> np.ndarray:
-    return ((masks[:, None] >> np.arange(n)) & 1).astype(float)
+def dense(lists: pa.ListArray, k: int) -> np.ndarray:
+    """Votes given as lists of voters, as a matrix."""
+    out = np.zeros((len(lists), k))
+    sizes = np.diff(np.asarray(lists.offsets))
+    out[np.repeat(np.arange(len(lists)), sizes), np.asarray(lists.flatten())] = 1
+    return out
 
 
-def choose_voters(rows: DataFrame, most: int) -> Voters:
-    """rows: text, toxic. The words with the clearest excess in toxic rows, then the fixed ones, `most` words in all."""
+def tallied(rows: DataFrame) -> DataFrame:
+    """rows: text, toxic -> gram and, for each level, n (rows where it reaches the level) and t (toxic ones)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        counts = {(level, y): Counter() for level in range(len(LEVELS)) for y in (0, 1)}
         for batch in small_slices(batches, "text"):
-            words, toxic = [], []
-            for text, label in zip(as_bytes(batch, "text"), batch.column(1).to_pylist()):
-                found = [w.decode() for w in set(ascii_words(text)) if 2 < len(w) < 32]
-                words += found
-                toxic += [label] * len(found)
-            yield {"word": words, "toxic": toxic}
-
-    schema = "word string, toxic int"
-    counts = rows.mapInArrow(arrow_rows(schema, make), schema).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    total = rows.agg(F.count("*"), F.sum("toxic")).first()
-    n, base = total[0], (total[1] or 0) / max(1, total[0])
+            for text, y in zip(as_bytes(batch, "text"), batch.column(1).to_pylist()):
+                words, found = words_in(text), Counter()
+                for w, n in Counter(words).items():
+                    for g in grams_of(w):
+                        found[g] += n
+                reached: dict[int, list[bytes]] = {level: [] for level in range(len(LEVELS))}
+                for g, n in found.items():
+                    reached[sum(n / (len(words) + EXTRA) >= x for x in LEVELS[1:])].append(g)
+                for level, grams in reached.items():
+                    counts[level, y].update(grams)
+            if sum(map(len, counts.values())) > 1 << 20:
+                yield listed(counts)
+        yield listed(counts)
+
+    def listed(counts: dict[tuple[int, int], Counter]) -> dict[str, list]:
+        out: dict[str, list] = {"gram": [], "level": [], "toxic": [], "n": []}
+        for (level, y), each in counts.items():
+            out["gram"] += each.keys()
+            out["n"] += each.values()
+            out["level"] += [level] * len(each)
+            out["toxic"] += [y] * len(each)
+            each.clear()
+        return out
+
+    schema = "gram binary, level int, toxic int, n long"
+    sums = [F.sum(F.when((F.col("level") >= k) & (F.col("toxic") >= y), F.col("n")).otherwise(0)).alias(f"{'nt'[y]}{k}") for k in range(len(LEVELS)) for y in (0, 1)]
+    return rows.mapInArrow(arrow_rows(schema, make), schema).groupBy("gram").agg(*sums)
+
+
+def excess(n: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
+    """By how many standard deviations t of n exceeds chance."""
+    return (t - base * n) / np.sqrt(np.maximum(1e-12, base * (1 - base) * n))
+
+
+def mine(tally: DataFrame, base: float, least: int = 5) -> Voters:
+    """The grams in `least` rows or more that differ between classes by two deviations, and of these the voters.
+
+    A voter exceeds chance by more than the largest of so many candidates would, and half of its rows are toxic at least.
+    """
+    fixed = [w.encode() + b" " for w in INSULTS]
     if not 0 < base < 1:
-        return Voters(tuple(w.encode() for w in INSULTS[:most]))
-    excess = (F.col("t") - base * F.col("n")) / F.sqrt(base * (1 - base) * F.col("n"))
-    # three standard deviations beyond chance, half of its rows toxic at least, or else common words win by numbers
-    top = counts.where((F.col("t") >= 3) & (F.col("t") >= 0.5 * F.col("n"))).withColumn("z", excess).where("z >= 3").orderBy(F.desc("z"), "word").limit(most - len(INSULTS)).collect()
-    mined = [r["word"].encode() for r in top]
-    fixed = [w.encode() for w in INSULTS if w.encode() not in mined]
-    return Voters(tuple([*mined, *fixed][:most]))
+        return Voters(tuple(fixed), tuple((k, 0) for k in range(len(fixed))))
+    often = tally.where(F.col("n0") >= least)
+    z = [(F.col(f"t{k}") - base * F.col(f"n{k}")) / F.sqrt(base * (1 - base) * F.greatest(F.lit(1), F.col(f"n{k}"))) for k in range(len(LEVELS))]
+    told = often.where((F.abs(z[0]) >= 2) | (F.greatest(*z) >= 3)).toArrow()  # bounded by the sample
+    limit = max(3.0, (2 * np.log(max(2, often.count()))) ** 0.5)
+    n, t = (np.array([told[f"{c}{k}"].to_numpy() for k in range(len(LEVELS))], float) for c in "nt")
+    scores = np.where((t >= least) & (t >= 0.5 * n), excess(np.maximum(n, 1), t, base), -np.inf)
+    names = told["gram"].to_pylist()
+    best = {g: (float(scores[level, k]), int(level)) for k, (g, level) in enumerate(zip(names, scores.argmax(0))) if scores[level, k] >= limit}
+    worse = set()
+    for g, (score, _) in best.items():
+        for a in (g[:k] for k in STARTS if k < len(g.rstrip(b" "))):
+            if a in best:
+                worse.add(a if score >= best[a][0] else g)
+    chosen = {g: level for g, (_, level) in sorted(best.items()) if g not in worse}
+    chosen |= {g: 0 for g in fixed if g not in chosen}
+    grams = tuple(sorted({*names, *chosen}))
+    number = {g: k for k, g in enumerate(grams)}
+    return Voters(grams, tuple((number[g], level) for g, level in chosen.items()))
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(voter fires | class), the prior of class 1, and each voter's weight."""
+    """P(voter fires | class), the prior of class 1, and each voter's weight: its share of what the voters it goes with say."""
 
     fires: np.ndarray  # [class, voter]
     prior: float
@@ -115,65 +222,65 @@ class LabelModel:
         off = np.log((1 - self.fires[1]) / (1 - self.fires[0]))
         return np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + SILENCE * ((1 - votes) @ (self.weight * off))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(votes), -40, 40)))
-
+    def posterior(self, votes: np.ndarray, said: np.ndarray | float = 0.0) -> np.ndarray:
+        """P(class 1); said: what else speaks for it, as a logit."""
+        return 1 / (1 + np.exp(-np.clip(self.logits(votes) + said, -40, 40)))
 
-def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> list[np.ndarray]:
-    """Over all documents: [class] sizes, [class, voter] fires, and with pairs [class, voter, voter] joint fires."""
-    k = len(model.weight)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        out = [np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k) if pairs else 0)]
-        for batch in batches:
-            votes, n = bits(np.asarray(batch.column(0)), k), np.asarray(batch.column(1)).astype(float)
-            q = model.posterior(votes)
-            for y, w in enumerate((n * (1 - q), n * q)):
-                out[0][y] += w.sum()
-                out[1][y] += w @ votes
-                if pairs:
-                    out[2][y] += (votes * w[:, None]).T @ votes
-        yield {"sums": [np.concatenate([x.reshape(-1) for x in out]).tolist()]}
+def expected(votes: np.ndarray, n: np.ndarray, model: LabelModel) -> np.ndarray:
+    """The E-step's sums over vote combinations: class sizes, fires [class, voter] and joint fires [class, voter, voter], flat."""
+    q = model.posterior(votes)
+    by_class = [w[:, None] * votes for w in (n * (1 - q), n * q)]
+    return np.concatenate([[(n * (1 - q)).sum(), (n * q).sum()], *[x.sum(0) for x in by_class], *[(x.T @ votes).reshape(-1) for x in by_class]])
 
-    schema = "sums array<double>"
-    at, total = patterns.mapInArrow(arrow_rows(schema, make), schema), np.zeros(2 + 2 * k + (2 * k * k if pairs else 0))
-    # summed by place on the executors
-    for r in at.select(F.posexplode("sums").alias("place", "x")).groupBy("place").agg(F.sum("x").alias("x")).toLocalIterator():
-        total[r["place"]] = r["x"]
-    return [total[:2], total[2 : 2 + 2 * k].reshape(2, k), total[2 + 2 * k :].reshape(2, k, k) if pairs else np.zeros(0)]
 
+def maximised(sums: np.ndarray, start: LabelModel, labelled: bool) -> LabelModel:
+    """The M-step: rates, prior, and weights from the correlations of voters within the classes.
 
-def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8) -> LabelModel:
-    """patterns: votes (bits), n (documents)."""
-    model, k = start, len(start.weight)
-    for _ in range(rounds):
-        sizes, fired, _ = _sums(patterns, model, False)
-        if sizes.sum() == 0:
-            return start
-        # the start counts like 50 documents of each class: voters that hardly ever fire stay where they were
-        fires = np.clip((fired + 50 * start.fires) / (sizes[:, None] + 50), 1e-5, 1 - 1e-5)
-        fires[1] = np.maximum(fires[1], fires[0])  # a vote never speaks against toxicity
-        prior = float(np.clip(sizes[1] / sizes.sum(), 0.005, 0.5))
-        moved = abs(prior - model.prior)
-        model = LabelModel(fires, prior, model.weight)
-        if moved < 1e-4:
-            break
-    sizes, fired, joint = _sums(patterns, model, True)
+    A start from labels counts like all documents again, classes as in the labels, so that the classes keep their
+    meaning: a toxic class of several languages would shrink to the largest otherwise. Any other start counts like 50
+    documents of each class.
+    """
+    k = len(start.weight)
+    sizes, fired, joint = sums[:2], sums[2 : 2 + 2 * k].reshape(2, k), sums[2 + 2 * k :].reshape(2, k, k)
+    held = sizes.sum() * np.array([1 - start.prior, start.prior]) if labelled else np.full(2, 50.0)
+    fires = np.clip((fired + held[:, None] * start.fires) / (sizes + held)[:, None], 1e-5, 1 - 1e-5)
+    fires[1] = np.maximum(fires[1], fires[0])  # a vote never speaks against toxicity
     rate = fired / np.maximum(sizes[:, None], 1e-9)
     spread = np.sqrt(np.clip(rate * (1 - rate), 1e-12, None))
     shared = (joint / np.maximum(sizes[:, None, None], 1e-9) - rate[:, :, None] * rate[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
     together = np.clip((shared * (sizes / max(1.0, sizes.sum()))[:, None, None]).sum(0), 0, 1)
     together[together < 0.1] = 0
     np.fill_diagonal(together, 0)
-    return LabelModel(model.fires, model.prior, 1 / (1 + together.sum(1)) if k else model.weight)
+    prior = (sizes[1] + held[1] * labelled) / max(1e-9, (sizes + held * labelled).sum())
+    return LabelModel(fires, float(np.clip(prior, 0.005, 0.5)), 1 / (1 + together.sum(1)))
+
 
+def fit_label_model(patterns: DataFrame, start: LabelModel, labelled: bool, rounds: int = 20) -> LabelModel:
+    """patterns: votes (ascending numbers of voters), n (documents); labelled: whether the start comes from labels."""
+    model, k = start, len(start.weight)
 
-def features(words: set[bytes], k: int) -> tuple[np.ndarray, float]:
-    """Places of hashed words (behind the k votes), ascending, and what each is worth."""
-    hashes = np.fromiter(map(xxh64_intdigest, words, repeat(5)), np.uint64, len(words)) % np.uint64(HASHED)
-    hashes.sort()
-    cells = hashes[np.diff(hashes, prepend=np.uint64(HASHED)) != 0].astype(np.int64) + k
-    return cells, 0.3 / max(1.0, len(cells)) ** 0.5
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        total = np.zeros(2 + 2 * k + 2 * k * k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                total += expected(dense(part.column(0), k), np.asarray(part.column(1)).astype(float), model)
+        yield {"sums": [total.tolist()]}
+
+    schema = "sums array<double>"
+    for _ in range(rounds):
+        total = np.zeros(2 + 2 * k + 2 * k * k)
+        for r in patterns.mapInArrow(arrow_rows(schema, make), schema).toLocalIterator():  # a row for each task, one at a time
+            total += np.array(r["sums"])
+        if total[:2].sum() == 0:
+            return start
+        following = maximised(total, start, labelled)
+        moved = max(abs(following.prior - model.prior), np.abs(following.fires - model.fires).max())
+        model = following
+        if moved < 1e-3:
+            break
+    return model
 
 
 @dataclass(frozen=True)
@@ -181,94 +288,86 @@ class Toxicity:
     """The trained scorer."""
 
     voters: Voters
-    weights: np.ndarray  # votes, then hashed words
+    votes: np.ndarray
+    shares: np.ndarray
     base: float
 
     def score(self, text: bytes) -> float:
-        words = set(ascii_words(text))
-        votes, k = self.voters.votes(text, words), len(self.voters)
-        cells, worth = features(words, k)
-        x = self.base + sum(self.weights[j] for j in range(k) if votes >> j & 1) + worth * float(self.weights[cells].sum())
+        fired, shares = self.voters.read(text)
+        x = self.base + sum(self.votes[k] for k in fired) + WORTH * sum(self.shares[g] * share for g, share in shares.items())
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def train_linear(votes: np.ndarray, cells: list[np.ndarray], target: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by full-batch Adam with a little shrinkage."""
+def train_linear(votes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, shares: np.ndarray, n_grams: int, target: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on soft labels, by full-batch Adam with a little shrinkage; row i has the next sizes[i] grams.
+
+    Both classes weigh the same in all, so that a score of one half is as far from either.
+    """
     k, n = votes.shape[1], len(target)
-    sizes = np.array([len(c) for c in cells], np.int64)
-    flat = np.concatenate(cells) if n else np.zeros(0, np.int64)
-    worth = 0.3 / np.maximum(1.0, sizes) ** 0.5
-    # sums over runs, by row and by cell: where the runs that aren't empty begin
-    filled = np.flatnonzero(sizes)
-    by_row = (np.cumsum(sizes) - sizes)[filled]
-    order = np.argsort(flat, kind="stable")
-    used, by_cell = np.unique(flat[order], return_index=True)
-    rows = np.repeat(np.arange(n), sizes)[order]
-    w, b = np.zeros(k + HASHED), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / (1 - np.clip(target.mean(), 1e-3, 0.999)))) if n else 0.0
-    m, v = np.zeros(k + HASHED + 1), np.zeros(k + HASHED + 1)
+    rows, worth = np.repeat(np.arange(n), sizes), WORTH * shares
+    mean = float(np.clip(target.mean(), 1e-3, 0.999))
+    balance = target * (0.5 / mean) + (1 - target) * (0.5 / (1 - mean))
+    w, m, v = np.zeros(k + n_grams + 1), np.zeros(k + n_grams + 1), np.zeros(k + n_grams + 1)
     for t in range(1, steps + 1):
-        x = b + votes @ w[:k]
-        if len(flat):
-            x[filled] += worth[filled] * np.add.reduceat(w[flat], by_row)
-        error = (1 / (1 + np.exp(-np.clip(x, -40, 40))) - target) / max(1, n)
-        g = np.concatenate([error @ votes, np.zeros(HASHED), [error.sum()]])
-        if len(flat):
-            g[used] += np.add.reduceat((error * worth)[rows], by_cell)
-        g[:-1] += 1e-5 * w
+        x = w[-1] + votes @ w[:k] + np.bincount(rows, worth * w[k:-1][grams], n)
+        error = balance * (1 / (1 + np.exp(-np.clip(x, -40, 40))) - target) / n
+        g = np.concatenate([error @ votes, np.bincount(grams, worth * error[rows], n_grams), [error.sum()]])
+        g[:-1] += 1e-5 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w[:k], w[k:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 20_000, words: int = 54) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 20_000) -> Toxicity:
     """docs: all documents; labels: id and label of the rows to learn from."""
     work = Workspace(docs.sparkSession, "toxicity")
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("id").agg(F.least(F.lit(1), F.max("toxic")).alias("toxic"))
     chosen = work.write(known.orderBy(F.xxhash64("id"), "id").limit(sample), "labels")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    rows = work.write(texts.join(chosen, "id").select("text", "toxic"), "labelled")
-    voters = choose_voters(rows, words)
-    k = len(voters)
+    rows = texts.join(chosen, "id").groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = annotate(rows, "text", "likeness long", lambda values: {"likeness": [likeness(t) for t in values]})
+    rows = work.write(rows.groupBy("likeness").agg(F.min_by("text", "sha").alias("text"), F.min_by("toxic", "sha").alias("toxic")).select("text", "toxic"), "labelled")
+    n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+    voters = mine(work.write(tallied(rows), "tally"), (toxic or 0) / max(1, n))
+    k, shared = len(voters), docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(values: list[bytes]) -> dict[str, list]:
-        return {"votes": [voters.votes(t, set(ascii_words(t))) for t in values]}
+        return {"votes": [shared.value.read(t)[0] for t in values]}
 
-    patterns = work.write(annotate(texts.select("text"), "text", "votes long", vote).groupBy("votes").agg(F.count("*").alias("n")), "votes")
+    patterns = work.write(annotate(texts.select("text"), "text", "votes array<int>", vote).groupBy("votes").agg(F.count("*").alias("n")), "votes")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for batch in small_slices(batches, "text"):
-            out: dict[str, list] = {"votes": [], "toxic": batch.column(1).to_pylist(), "cells": []}
-            for text in as_bytes(batch, "text"):
-                found = set(ascii_words(text))
-                out["votes"].append(voters.votes(text, found))
-                out["cells"].append(features(found, k)[0])
-            yield out
-
-    schema = "votes long, toxic int, cells array<int>"
-    train = rows.mapInArrow(arrow_rows(schema, make), schema).toArrow()  # at most `sample` rows
-    votes, toxic = bits(train["votes"].to_numpy(), k) if train.num_rows else np.zeros((0, k)), train["toxic"].to_numpy().astype(float)
-    cells = [np.asarray(x.values) for x in train["cells"]]
+            read = [shared.value.read(t) for t in as_bytes(batch, "text")]
+            yield {"votes": [v for v, _ in read], "toxic": batch.column(1).to_pylist(), "grams": [list(s) for _, s in read], "shares": [list(s.values()) for _, s in read]}
+
     start = np.full((2, k), 0.005)
     start[1] = 0.05
-    if len(toxic) and 0 < toxic.mean() < 1:
-        for y in (0, 1):
-            start[y] = (votes[toxic == y].sum(0) + 2 * start[y]) / ((toxic == y).sum() + 2)
+    base = float(np.clip((toxic or 0) / max(1, n), 0.01, 0.5)) if n else 0.05
+    if not 0 < (toxic or 0) < n:  # nothing to train on: the generative model itself
+        model = fit_label_model(patterns, LabelModel(start, base, np.ones(k)), False)
+        on = model.weight * (np.log(model.fires[1] / model.fires[0]) - SILENCE * np.log((1 - model.fires[1]) / (1 - model.fires[0])))
+        work.drop()
+        return Toxicity(voters, on, np.zeros(len(voters.grams)), float(model.logits(np.zeros((1, k)))[0]))
+    schema = "votes array<int>, toxic int, grams array<int>, shares array<float>"
+    train = rows.mapInArrow(arrow_rows(schema, make), schema).toArrow().combine_chunks()  # at most `sample` rows
+    votes, truth = dense(train["votes"].chunk(0), k), train["toxic"].to_numpy()
+    for y in (0, 1):
+        start[y] = (votes[truth == y].sum(0) + 2 * start[y]) / ((truth == y).sum() + 2)
     start[1] = np.maximum(start[1], start[0])
-    base = float(np.clip(toxic.mean(), 0.01, 0.5)) if len(toxic) else 0.05
-    model = fit_label_model(patterns, LabelModel(start, base, np.ones(k)))
-    weights, bias = train_linear(votes, cells, model.posterior(votes))
-    if not len(toxic):  # nothing to train on: the generative model itself
-        on = model.weight * (np.log(model.fires[1] / model.fires[0]) - np.log((1 - model.fires[1]) / (1 - model.fires[0])))
-        weights, bias = np.concatenate([on, np.zeros(HASHED)]), float(model.logits(np.zeros((1, k)))[0])
-    return Toxicity(voters, weights, bias)
+    model = fit_label_model(patterns, LabelModel(start, base, np.ones(k)), True)
+    target = model.posterior(votes, np.where(truth == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)))
+    grams = train["grams"].chunk(0)
+    out = train_linear(votes, np.diff(np.asarray(grams.offsets)), np.asarray(grams.flatten()), np.asarray(train["shares"].chunk(0).flatten()), len(voters.grams), target)
+    work.drop()
+    return Toxicity(voters, *out)
 
 
-def scored(docs: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
-    """docs with __lf_score."""
+def scored(docs: DataFrame, text_col: str, model: Toxicity, score_col: str) -> DataFrame:
+    """docs with their scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, text_col, "__lf_score double", lambda values: {"__lf_score": [shared.value.score(t) for t in values]})
+    return annotate(docs, text_col, f"`{score_col}` double", lambda values: {score_col: [shared.value.score(t) for t in values]})
 
 
 def held_out(id_col: str = "doc_id"):
@@ -280,10 +379,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """A row for each document: doc_id, held_out, score, predicted."""
     model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **how)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    return scored(rows, "text", model).select("doc_id", held_out("doc_id").alias("held_out"), F.col("__lf_score").alias("score"), (F.col("__lf_score") >= 0.5).cast("int").alias("predicted"))
+    return scored(rows, "text", model, "score").select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_mild(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with a score under 0.5, with all their columns and whole texts."""
-    model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **how)
-    return scored(docs, text_col, model).where("__lf_score < 0.5").drop("__lf_score")
+    model, score = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **how), fresh("__lf_score", docs)
+    return scored(docs, text_col, model, score).where(F.col(score) < 0.5).drop(score)
