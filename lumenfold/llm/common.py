@@ -63,6 +63,15 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def one_of_repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One of the rows that share an id and a text; rows without an id stay. Only texts whose id occurs again are moved."""
+    name, sha = fresh("__lf_id", docs), fresh("__lf_sha", docs)
+    ids = docs.select(F.col(f"`{id_col}`").alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    same = F.col(f"`{id_col}`") == F.col(name)
+    again = docs.join(ids, same, "left_semi").withColumn(sha, F.sha2(text_of(text_col), 256)).dropDuplicates([id_col, sha]).drop(sha)
+    return docs.join(ids, same, "left_anti").unionByName(again)
+
+
 def arrow_rows(schema: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]]) -> Callable:
     """A function for mapInArrow from one that yields columns by name; schema: a Spark DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema

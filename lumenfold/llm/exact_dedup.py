@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import Workspace, fresh, one_of_repeated, text_of
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
@@ -98,7 +98,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "largest") -> DataFrame:
     """The documents that stay, with all their columns and whole texts."""
-    report = exact_dedup(docs, id_col, text_col, keep=keep).where("kept").select(F.col("doc_id").alias("__lf_id"), F.col("text_sha256").alias("__lf_sha"))
-    marked = docs.withColumn("__lf_key", F.sha2(text_of(text_col), 256))
-    staying = marked.join(report, F.col(f"`{id_col}`").eqNullSafe(F.col("__lf_id")) & (F.col("__lf_key") == F.col("__lf_sha")), "left_semi")
-    return staying.dropDuplicates([id_col, "__lf_key"]).drop("__lf_key")
+    name, sha = fresh("__lf_id", docs), fresh("__lf_sha", docs)
+    report = exact_dedup(docs, id_col, text_col, keep=keep)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = report.where(~stays).select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha)).distinct()
+    left = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.sha2(text_of(text_col), 256) == F.col(sha)), "left_anti")
+    # of rows without an id that share a text one stays, as of others
+    nameless = left.where(F.col(f"`{id_col}`").isNull()).withColumn(sha, F.sha2(text_of(text_col), 256)).dropDuplicates([sha]).drop(sha)
+    return one_of_repeated(left.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col).unionByName(nameless)

@@ -1,10 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, their texts decide.
+"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, bit planes thin them, texts decide.
 
-The `bands` keys of a text are digests of `rows` minima of its shingle hashes each; texts that share a key are
-candidates. Of a bucket of at most `small` documents all pairs are compared; of a larger one each is compared with
-the least, and those that differ from it meet again in the next round, so that a group of copies costs as many
-comparisons as it has members. Every comparison is exact, on the shingles themselves. A pair of similarity s shares
-no key with probability (1 - s ** rows) ** bands: 0.00006 at 0.8, less above.
+The least hashes of a text's shingles under 128 functions give it `bands` keys, each a digest of `rows` of them, and a
+sketch of one bit a function. Texts that share a key are candidates; of these only pairs whose sketches differ in
+`radius` bits or fewer are compared, exactly, on the shingles themselves. A pair of similarity 0.8 shares no key with
+probability (1 - 0.8 ** rows) ** bands, 0.000003, and differs in more than 28 of 128 bits with probability 0.00001.
+
+First every text is compared with the least that it shares a key with, one comparison a text: a group of copies costs
+as many comparisons as it has members. Those left over meet in what is left of their buckets, where bit-sliced
+counters find each one's close smaller ones, `most` at first and four times as many in each following pass, until
+no text has more. The number of passes is logarithmic in the size of a bucket. Buckets over `block` texts are
+searched in slices by several tasks; a task holds the ids and sketches of one bucket, 24 bytes a text.
 
 Of two near copies that share a key at least one goes, and each that goes has a near copy with a smaller id.
 
@@ -24,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Workspace, arrow_rows, as_bytes, small_slices, text_of
+from .common import Workspace, arrow_rows, as_bytes, fresh, small_slices, text_of
 from .ngrams import WordHashes, ngram_hashes
-from .simhash import signed
+from .simhash import close, signed
+
+#: How many functions there are, each a bit of the sketch.
+FUNCTIONS = 128
 
 
 def shingles(text: bytes, shingle: int) -> set[bytes]:
@@ -35,79 +43,131 @@ def shingles(text: bytes, shingle: int) -> set[bytes]:
 
 
 @cache
-def _functions(n: int) -> np.ndarray:
-    """Two random words for each of n hash functions."""
-    return np.random.default_rng(5).integers(0, 1 << 64, (2, n, 1), np.uint64, endpoint=False)
+def _functions() -> np.ndarray:
+    """An odd factor and a summand for each function."""
+    out = np.random.default_rng(5).integers(0, 1 << 32, (2, FUNCTIONS, 1), np.uint32, endpoint=False)
+    out[0] |= np.uint32(1)
+    return out
 
 
-def band_keys(coded: np.ndarray, shingle: int, bands: int, rows: int) -> list[int]:
-    """The keys of a text from the hashes of its words; none without words."""
+def marks(coded: np.ndarray, shingle: int, bands: int, rows: int) -> tuple[list[int], np.ndarray]:
+    """The keys of a text, none without words, and the two words of its sketch, from the hashes of its words."""
     if not len(coded):
-        return []
-    grams = ngram_hashes(coded, min(shingle, len(coded)))
-    random = _functions(bands * rows)
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(grams), 1 << 10):  # bounded memory for very long texts
-        least = np.minimum(least, ((grams[None, at : at + (1 << 10)] ^ random[0]) * (random[1] | np.uint64(1))).min(1))
-    return [signed(xxh64_intdigest(part.tobytes())) for part in least.reshape(bands, rows)]
+        return [], np.zeros(2, np.int64)
+    grams = (ngram_hashes(coded, min(shingle, len(coded))) >> np.uint64(32)).astype(np.uint32)
+    factor, summand = _functions()
+    least = np.full(FUNCTIONS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(grams), 1 << 11):  # bounded memory for very long texts
+        least = np.minimum(least, (grams[None, at : at + (1 << 11)] * factor + summand).min(1))
+    keys = [signed(xxh64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), k)) for k in range(bands)]
+    return keys, np.packbits((least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
 
 
-def _keyed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """docs: id, text -> id, keys."""
+def _marked(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """docs: id, text -> id, keys, s0, s1."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         hashes = WordHashes(1 << 18)
         for batch in small_slices(batches, "text"):
-            keys = [band_keys(hashes.of(t.lower().split()), shingle, bands, rows) for t in as_bytes(batch, "text")]
-            yield {"id": batch.column(0).to_pylist(), "keys": keys}
+            made = [marks(hashes.of(t.lower().split()), shingle, bands, rows) for t in as_bytes(batch, "text")]
+            yield {"id": batch.column(0).to_pylist(), "keys": [k for k, _ in made], "s0": [s[0] for _, s in made], "s1": [s[1] for _, s in made]}
 
-    schema = "id long, keys array<long>"
+    schema = "id long, keys array<long>, s0 long, s1 long"
     return docs.mapInArrow(arrow_rows(schema, make), schema)
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose texts are alike."""
+    """The ids u of pairs (u, v) whose texts are alike."""
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         last, theirs = None, set()
         for batch in batches:
             for part in small_slices(iter([batch]), "text"):
-                out: dict[str, list] = {"u": [], "v": []}
-                for u, v, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part, "text"), as_bytes(part, "other")):
+                out: dict[str, list] = {"id": []}
+                for u, a, b in zip(part.column(0).to_pylist(), as_bytes(part, "text"), as_bytes(part, "other")):
                     if b != last:
                         last, theirs = b, shingles(b, shingle)
                     mine = shingles(a, shingle)
                     shared = len(mine & theirs)
                     if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
-                        out["u"].append(u)
-                        out["v"].append(v)
+                        out["id"].append(u)
                 yield out
 
+    return both.select("u", "text", "other").mapInArrow(arrow_rows("id long", make), "id long").distinct()
+
+
+def smaller_neighbours(ids: np.ndarray, sketches: np.ndarray, queries: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids ascend. For each query (a place in ids) the places of the first `most` smaller ids within the radius, and the queries that have more: (u, v, more)."""
+    step = max(1, (1 << 18) // (len(ids) // 64 + 1))
+    for at in range(0, len(queries), step):
+        asked = queries[at : at + step]
+        found = np.unpackbits(close(sketches[asked], sketches, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(ids)].astype(bool)
+        found &= ids[None, :] < ids[asked][:, None]
+        u, v = np.nonzero(found)
+        rank = np.arange(len(u)) - np.searchsorted(u, u)
+        yield asked[u[rank < most]], v[rank < most], np.unique(asked[u[rank >= most]])
+
+
+def _neighbours(live: DataFrame, radius: int, most: int, block: int) -> DataFrame:
+    """live: key, id, s0, s1, n (of the key) -> u, v; v null where u has more than `most`."""
+    dealt = live.select("key", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("slice"), "id", "s0", "s1")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        def searched(held: list[pa.RecordBatch], part: int) -> Iterator[dict[str, list]]:
+            ids, s0, s1 = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (2, 3, 4))
+            ids, at = np.unique(ids, return_index=True)
+            queries = np.arange(part * block, min(len(ids), (part + 1) * block))
+            for u, v, more in smaller_neighbours(ids, np.stack([s0[at], s1[at]], 1).view(np.uint64), queries, radius, most):
+                yield {"u": [*ids[u].tolist(), *ids[more].tolist()], "v": [*ids[v].tolist(), *[None] * len(more)]}
+
+        held, last = [], None
+        for batch in batches:
+            key, part = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and (key[a], part[a]) != last:
+                    if held:
+                        yield from searched(held, last[1])
+                    held, last = [], (key[a], int(part[a]))
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from searched(held, last[1])
+
     schema = "u long, v long"
-    return both.select("u", "v", "text", "other").mapInArrow(arrow_rows(schema, make), schema)
+    return dealt.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(arrow_rows(schema, make), schema).distinct()
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, small: int = 8) -> DataFrame:
+def without_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, radius: int = 28, block: int = 8192, most: int = 8
+) -> DataFrame:
     """docs without those that have a near copy with a smaller id."""
     work = Workspace(docs.sparkSession, "near-copies")
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text")).where("id IS NOT NULL")
-    keyed = work.write(_keyed(named, shingle, bands, rows), "keys").select("id", F.posexplode("keys").alias("band", "key")).distinct()
-    bucket = ["band", "key"]
-    sizes = lambda rows: rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    live = work.write(keyed.join(sizes(keyed), bucket), "live-0")
+    marked = work.write(_marked(named, shingle, bands, rows), "marks")
+    sizes = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    keyed = marked.select("id", F.explode("keys").alias("key"), "s0", "s1")
+    live = work.write(keyed.join(sizes(keyed), "key"), "live-0")
+    leaders = live.select(F.col("least").alias("id")).distinct().join(marked.dropDuplicates(["id"]), "id").select(F.col("id").alias("v"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    first = live.where("id > least").select(F.col("id").alias("u"), F.col("least").alias("v"), "s0", "s1").join(leaders, "v")
+    first = first.where(f"bit_count(s0 ^ t0) + bit_count(s1 ^ t1) <= {radius}").groupBy("u").agg(F.min("v").alias("v"))
+    tried, k = work.write(first, "tried-0"), 0
     texts = work.write(named.join(live.select("id").distinct(), "id", "left_semi"), "texts")
-    gone, k = docs.sparkSession.createDataFrame([], "id long"), 0
-    while not live.isEmpty():
-        few = live.where(F.col("n") <= small).select("id", *bucket)
-        pairs = few.withColumnRenamed("id", "u").join(few.withColumnRenamed("id", "v"), bucket).where("u > v").select("u", "v")
-        pairs = pairs.unionByName(live.where((F.col("n") > small) & (F.col("id") > F.col("least"))).select(F.col("id").alias("u"), F.col("least").alias("v"))).distinct()
-        found = work.write(_alike(pairs, texts, shingle, percent).select(F.col("u").alias("id")).distinct(), f"gone-{k}")
-        gone = gone.unionByName(found)
-        left = live.where((F.col("n") > small) & (F.col("id") > F.col("least"))).select("id", *bucket).join(found, "id", "left_anti")
+    gone = work.write(_alike(tried, texts, shingle, percent), "gone-0")
+    while True:
         k += 1
-        live = work.write(left.join(sizes(left), bucket), f"live-{k}")
+        left = live.select("key", "id", "s0", "s1").join(gone, "id", "left_anti")
+        live = work.write(left.join(sizes(left), "key"), f"live-{k}")
         work.drop(f"live-{k - 1}")
-    gone = gone.select(F.col("id").alias("__lf_id")).distinct()
-    kept = docs.where(F.col(f"`{id_col}`").isNotNull()).join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__lf_id"), "left_anti")
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+        met = work.write(_neighbours(live, radius, most, block), f"met-{k}")
+        pairs = work.write(met.where("v IS NOT NULL").join(tried, ["u", "v"], "left_anti"), f"tried-{k}")
+        found = work.write(_alike(pairs, texts, shingle, percent), f"gone-{k}")
+        more = met.where("v IS NULL").select(F.col("u").alias("id")).join(found, "id", "left_anti")
+        gone, tried, most = gone.unionByName(found), tried.unionByName(pairs), 4 * most
+        if more.isEmpty():
+            break
+    name = fresh("__lf_id", docs)
+    gone = gone.select(F.col("id").alias(name)).distinct()
+    # null ids match nothing and stay
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import Workspace, arrow_rows, as_bytes, small_slices, text_of
+from .common import Workspace, arrow_rows, as_bytes, fresh, one_of_repeated, small_slices, text_of
 from .components import components
 
 #: SimHash of the contract: XXH64 with this seed.
@@ -76,17 +76,18 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def close(queries: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Bits [query, word]: which fingerprints are within the radius of each query."""
-    planes = bit_planes(fps)
+    """Bits [query, word]: which fingerprints are within the radius of each query; fingerprints have a word, or as many as columns."""
+    queries, fps = (x.reshape(len(x), -1) for x in (queries, fps))
+    planes = np.concatenate([bit_planes(np.ascontiguousarray(x)) for x in fps.T])
     width = (radius + 1).bit_length()
     shape = (len(queries), planes.shape[1])
     counters = [np.zeros(shape, np.uint64) for _ in range(width)]
     over = np.zeros(shape, np.uint64)
     if tail := len(fps) % 64:
         over[:, -1] = np.uint64(((1 << 64) - 1) ^ ((1 << tail) - 1))  # words end beyond the last fingerprint
-    flips = np.where((queries[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), np.uint64((1 << 64) - 1), np.uint64(0))
+    flips = np.where((queries[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), np.uint64((1 << 64) - 1), np.uint64(0)).reshape(len(queries), -1)
     exceeded = over
-    for b in range(64):
+    for b in range(len(planes)):
         carry = planes[b][None, :] ^ flips[:, b : b + 1]
         for c in counters:
             c ^= carry
@@ -192,7 +193,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without an id stay. Rows that share an id are one document: they go if one of them has to, and of rows
     that repeat id and text one stays.
     """
-    gone = simhash_groups(docs, id_col, text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__lf_id")).distinct()
-    named = docs.where(F.col(f"`{id_col}`").isNotNull()).join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__lf_id"), "left_anti")
-    named = named.withColumn("__lf_key", F.sha2(text_of(text_col), 256)).dropDuplicates([id_col, "__lf_key"]).drop("__lf_key")
-    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    key, name = F.col(f"`{id_col}`").cast("long"), fresh("__lf_id", docs)
+    gone = simhash_groups(docs, id_col, text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, key == F.col(name), "left_anti")  # null ids match nothing and stay
+    return one_of_repeated(left, id_col, text_col)

@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from lumenfold.llm.near_copies import without_near_copies
+from lumenfold.llm.near_copies import marks, without_near_copies
+from lumenfold.llm.ngrams import WordHashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,11 +39,11 @@ def held(rows, kept):
     return all(any(alike(texts[a], texts[b]) for b in names if b < a) for a in names if a not in kept)
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_no_near_copies_stay(spark, small):
+@pytest.mark.parametrize("how", [{}, {"block": 3, "most": 1}])
+def test_no_near_copies_stay(spark, how):
     rows = edited()
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows] + [(None, rows[0][1], "x", "y", 1), (2000, "", "x", "y", 1), (2001, None, "x", "y", 1)], SCHEMA)
-    kept = without_near_copies(docs, small=small)
+    kept = without_near_copies(docs, **how)
     assert kept.columns == docs.columns
     names = [r["doc_id"] for r in kept.collect()]
     assert None in names and {2000, 2001} <= set(names)
@@ -52,4 +54,15 @@ def test_no_near_copies_stay(spark, small):
 def test_the_stage_leaves_no_near_copies(spark, sf):
     rows = edited()
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], SCHEMA)
-    held(rows, {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()})
+    assert held(rows, {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()})
+
+
+def test_marks_follow_similarity():
+    rnd, shared, apart = random.Random(3), [], []
+    for _ in range(60):
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        b = [*a[:180], *(f"w{rnd.randrange(10**6)}" for _ in range(22))]  # similarity about 0.8
+        (k, s), (m, t) = (marks(WordHashes().of([w.encode() for w in x]), 5, 24, 4) for x in (a, b))
+        shared.append(len(set(k) & set(m)))
+        apart.append(int(np.bitwise_count((s ^ t).view(np.uint64)).sum()))
+    assert min(shared) > 0 and max(apart) <= 28 and 5 < np.mean(shared) < 15 and 7 < np.mean(apart) < 19
