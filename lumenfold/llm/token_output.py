@@ -154,7 +154,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                 names, docs = from_shard(batch.column(1)[k].as_py())
                 lengths = np.array([len(x) for x in docs], np.int64)
                 starts = batch.column(0)[k].as_py() + np.cumsum(lengths) - lengths
-                yield {"doc_id": names, "start": starts.tolist(), "n_tokens": lengths.tolist(), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in docs]}
+                yield {"doc_id": names, "start": starts.tolist(), "n_tokens": lengths.tolist(), "ids_crc32": [zlib.crc32(x.astype("<u4", copy=False)) for x in docs]}
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return placed.mapInArrow(arrow_rows(schema, make), schema)

@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import category
 
 import numpy as np
@@ -66,22 +67,14 @@ class Encoder:
         """The ids of each text with the end id appended."""
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
-        out, get, new = [], self.known.get, {}
-        for text in texts:
-            if self.unsettled(text) or any(a in text for a in self.added):
-                out.append(self._whole([text]))
-                continue
-            pieces = self.cut(text)
-            ids = list(map(get, pieces))
-            if None in ids:
-                new.update((p, None) for p, x in zip(pieces, ids) if x is None)
-                ids = pieces
-            out.append(ids)
-        if seen := self.older.keys() & new.keys():
+        cut = [None if self.unsettled(t) or any(a in t for a in self.added) else self.cut(t) for t in texts]
+        unknown = set(chain.from_iterable(filter(None, cut))).difference(self.known)
+        if seen := unknown.intersection(self.older):
             self.known.update((p, self.older[p]) for p in seen)
-        if unseen := list(new.keys() - seen):
-            self.known.update(zip(unseen, self._whole(unseen)))
-        return [np.frombuffer(b"".join([*(map(self.known.__getitem__, x) if x and isinstance(x[0], str) else x), END]), "<u4") for x in out]
+        if new := list(unknown - seen):
+            self.known.update(zip(new, self._whole(new)))
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join([*(self._whole([t]) if pieces is None else map(ids, pieces)), END]), "<u4") for t, pieces in zip(texts, cut)]
 
 
 _encoders: dict[str, Encoder] = {}
