@@ -42,7 +42,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts. Remembers at most `most` pieces in two generations, so that memory stays bounded and common pieces stay known."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import json
@@ -69,9 +69,8 @@ class Encoder:
             self.known, self.older = {}, self.known
         cut = [None if self.unsettled(t) or any(a in t for a in self.added) else self.cut(t) for t in texts]
         unknown = set(chain.from_iterable(filter(None, cut))).difference(self.known)
-        if seen := unknown.intersection(self.older):
-            self.known.update((p, self.older[p]) for p in seen)
-        if new := list(unknown - seen):
+        self.known.update((p, self.older[p]) for p in unknown if p in self.older)
+        if new := list(unknown.difference(self.known)):
             self.known.update(zip(new, self._whole(new)))
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join([*(self._whole([t]) if pieces is None else map(ids, pieces)), END]), "<u4") for t, pieces in zip(texts, cut)]
@@ -80,7 +79,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encode(texts: list[str], path: str, most: int = 1 << 19) -> Iterator[np.ndarray]:
+def encode(texts: list[str], path: str, most: int = 1 << 17) -> Iterator[np.ndarray]:
     """The ids of each text with the end id appended; about `most` characters at a time. One encoder for each worker."""
     encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
     held, size = [], 0
