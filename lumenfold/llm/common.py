@@ -94,6 +94,14 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def as_texts(batch: pa.RecordBatch, name: str) -> list[str]:
+    """A text column; null as empty, bytes that aren't UTF-8 as replacement characters."""
+    try:
+        return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode(errors="replace") for x in as_bytes(batch, name)]
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text, so that memory follows bytes and not rows."""
     for batch in batches:

@@ -11,7 +11,7 @@ the page's largest sum.
 
 Defined results: null and empty pages, and pages without main text (no text outside links, or unmarked and neither
 two words nor a full stop), give the empty text; an unclosed or cut tag
-ends with the page; repeated rows are each extracted; the empty table gives the empty table; other columns are
+ends with the page; bytes that aren't UTF-8 are replaced; repeated rows are each extracted; the empty table gives the empty table; other columns are
 ignored.
 """
 
@@ -182,5 +182,5 @@ def extract(html: str, window: int = 3, surge: int = 80) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, window: int = 3, surge: int = 80) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    made = annotate(rows, "html", "text string", lambda texts: {"text": [extract(t.decode(), window, surge) for t in texts]})
+    made = annotate(rows, "html", "text string", lambda texts: {"text": [extract(t.decode(errors="replace"), window, surge) for t in texts]})
     return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -14,7 +14,7 @@ over tasks makes the numbers ranks. No document is sent to the driver or gathere
 a length that a third of all pieces have is no hot group.
 
 Defined results: a null text is empty and has the end id only; repeated rows and null ids are documents of their
-own; the empty table gives the empty table; other columns are ignored.
+own; bytes that aren't UTF-8 are replaced; the empty table gives the empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows, small_slices, text_of
+from .common import Workspace, arrow_rows, as_texts, small_slices, text_of
 from .tokens import default_tokenizer, encode
 
 
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, work: Workspace, id_col: str, text_col: str, capacit
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in small_slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")}
-            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), tokenizer)):
+            for name, ids in zip(batch.column(0).to_pylist(), encode(as_texts(batch, "text"), tokenizer)):
                 for k, (at, n) in enumerate(cut(len(ids), capacity)):
                     for key, value in zip(out, (name, k, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), part, seen[n])):
                         out[key].append(value)

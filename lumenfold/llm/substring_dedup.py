@@ -13,8 +13,9 @@ Aggregations combine before they are shuffled and joins are on hashes and ids, s
 documents share is no hot group; pairs of documents are never formed. The text is shuffled once, by id.
 
 Defined results: null and empty texts have no words; rows that share an id are one document for the comparison
-(their windows don't repeat each other) and each is returned; null ids count as smaller than any other; the empty
-table gives the empty table; other columns are ignored.
+(their windows don't repeat each other) and each is returned; null ids count as smaller than any other; bytes that
+aren't UTF-8 are replaced in the kept text, whose digest is of the bytes as they were; the empty table gives the
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     mask = spans_to_mask(len(words), a, np.minimum(b, len(words)))
                     kept, gone = [words[i] for i in np.flatnonzero(~mask)], int(mask.sum())
                 joined = b" ".join(kept)
-                for key, value in zip(out, (None if name == NO_ID else name, len(words), gone, joined.decode(), hashlib.sha256(joined).hexdigest())):
+                for key, value in zip(out, (None if name == NO_ID else name, len(words), gone, joined.decode(errors="replace"), hashlib.sha256(joined).hexdigest())):
                     out[key].append(value)
             yield out
 

@@ -14,7 +14,7 @@ columns part, shard, first (ids of the part before the shard), n_ids and payload
 lost tasks and lost executors harmless and works in any store that Spark can write.
 
 Defined results: a null text is empty and has the end id only; null ids come first; rows that repeat an id follow
-each other in the order of their texts' hashes; the empty table gives no shards; other columns are ignored.
+each other in the order in which they are read; bytes that aren't UTF-8 are replaced; the empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows, small_slices, text_of
+from .common import Workspace, arrow_rows, as_texts, small_slices, text_of
 from .tokens import default_tokenizer, encode
 
 MAGIC, VERSION, BLOCK = b"LFPF", 1, 128
@@ -39,14 +39,9 @@ NO_ID = -(1 << 63)
 MOST_PARTS = 1 << 20
 
 
-def _lengths(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, ...]:
-    """Of blocks as rows: minimum, deltas, width and where the exceptions are."""
-    least = ids.min(1)
-    deltas = ids - least[:, None]
-    bits = np.frexp(deltas.astype(np.float64))[1].astype(np.uint8)  # how many bits each needs
-    at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    width = np.partition(bits, at, axis=1)[:, at]
-    return least, deltas, width, bits > width[:, None]
+def _cells(w: int) -> np.dtype:
+    """The smallest whole numbers that hold w bits."""
+    return np.dtype("<u1" if w <= 8 else "<u2" if w <= 16 else "<u4")
 
 
 def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
@@ -54,21 +49,30 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     if not len(ids):
         return np.zeros(1, np.uint64), b""
     filled = np.concatenate([ids, np.full(-len(ids) % BLOCK, ids[-1], np.uint32)]).reshape(-1, BLOCK)
-    least, deltas, width, outlier = _lengths(filled, percentile)
-    kept = np.where(outlier, np.uint32(0), deltas)
-    packed: list[bytes] = [b""] * len(filled)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(kept[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-        data = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-        for r, d in zip(rows, data):
-            packed[r] = d.tobytes()
-    n_out = outlier.sum(1)
-    where, which = np.nonzero(outlier)
-    cuts = np.cumsum(n_out)[:-1]
-    positions, values = np.split(which.astype(np.uint8), cuts), np.split(deltas[where, which], cuts)
-    blocks = [struct.pack("<IBB", m, w, n) + d + p.tobytes() + v.tobytes() for m, w, n, d, p, v in zip(least.tolist(), width.tolist(), n_out.tolist(), packed, positions, values)]
-    return np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.uint64), b"".join(blocks)
+    least = filled.min(1)
+    deltas = filled - least[:, None]
+    bits = np.frexp(deltas.astype(np.float32 if deltas.max() < 1 << 24 else np.float64))[1].astype(np.uint8)  # how many bits each needs
+    at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
+    width = np.partition(bits, at, axis=1)[:, at]
+    where, which = np.nonzero(bits > width[:, None])
+    n_out = np.bincount(where, minlength=len(filled))
+    sizes = 6 + BLOCK // 8 * width.astype(np.int64) + 5 * n_out
+    ends = np.cumsum(sizes)
+    begins, out = ends - sizes, np.zeros(ends[-1], np.uint8)
+    out[begins[:, None] + np.arange(4)] = least.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[begins + 4], out[begins + 5] = width, n_out
+    kept = deltas.copy()
+    kept[where, which] = 0
+    for w in np.unique(width[width > 0]).tolist():
+        rows, cells = np.flatnonzero(width == w), _cells(w)
+        bits = np.unpackbits(kept[rows].astype(cells).view(np.uint8).reshape(len(rows), BLOCK, cells.itemsize), axis=2, bitorder="little", count=w)
+        out[begins[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    # the exceptions of a block: first their positions, then their deltas
+    rank = np.arange(len(where)) - (np.cumsum(n_out) - n_out)[where]
+    tail = begins[where] + 6 + BLOCK // 8 * width[where].astype(np.int64)
+    out[tail + rank] = which
+    out[(tail + n_out[where] + 4 * rank)[:, None] + np.arange(4)] = deltas[where, which].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.concatenate([[0], ends]).astype(np.uint64), out.tobytes()
 
 
 def unpack(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
@@ -76,21 +80,20 @@ def unpack(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
     raw, begins = np.frombuffer(data, np.uint8), starts[:-1].astype(np.int64)
     if not len(begins):
         return np.zeros(0, np.uint32)
-    least = raw[begins[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
-    width, n_out = raw[begins + 4], raw[begins + 5]
+    least = raw[begins[:, None] + np.arange(4)].view("<u4")
+    width, n_out = raw[begins + 4].astype(np.int64), raw[begins + 5].astype(np.int64)
     out = np.zeros((len(begins), BLOCK), np.uint32)
-    for w in np.unique(width[width > 0]):
-        rows = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
-        bits = np.unpackbits(raw[begins[rows][:, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        # bits to whole bytes first, then at most four shifts
-        filled = np.zeros((len(rows), BLOCK, 32), np.uint8)
+    for w in np.unique(width[width > 0]).tolist():
+        rows, cells = np.flatnonzero(width == w), _cells(w)
+        bits = np.unpackbits(raw[begins[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        filled = np.zeros((len(rows), BLOCK, 8 * cells.itemsize), np.uint8)
         filled[:, :, :w] = bits
-        out[rows] = np.packbits(filled, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for r in np.flatnonzero(n_out):
-        at, m = int(begins[r]) + 6 + BLOCK * int(width[r]) // 8, int(n_out[r])
-        out[r, raw[at : at + m]] = np.frombuffer(data, "<u4", count=m, offset=at + m)
-    return (out + least[:, None]).reshape(-1)[:n]
+        out[rows] = np.packbits(filled, axis=2, bitorder="little").view(cells)[:, :, 0]
+    where = np.repeat(np.arange(len(begins)), n_out)
+    rank = np.arange(len(where)) - (np.cumsum(n_out) - n_out)[where]
+    tail = begins[where] + 6 + BLOCK // 8 * width[where]
+    out[where, raw[tail + rank]] = raw[(tail + n_out[where] + 4 * rank)[:, None] + np.arange(4)].view("<u4")[:, 0]
+    return (out + least).reshape(-1)[:n]
 
 
 def to_shard(doc_ids: list[int | None], docs: list[np.ndarray], percentile: float = 0.9) -> bytes:
@@ -120,13 +123,13 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shard_ids: a shard is closed with the first document that brings it to so many ids.
     """
     path, work = tokenizer or default_tokenizer(), Workspace(docs.sparkSession, "token-shards")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")  # the tie parts an id that many rows share
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         part, shard, first, names, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in small_slices(batches, "text"):
-            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path)):
+            for name, ids in zip(batch.column(0).to_pylist(), encode(as_texts(batch, "text"), path)):
                 names.append(name)
                 held.append(ids)
                 size += len(ids)
