@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -131,6 +132,56 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def slow_verdicts(rows, order=3, strength=5.0, error=0.01):
+    """The models in plain Python; rows: (id, site, chars, class or None, fold)."""
+
+    def model(folds):
+        seen, ends, contexts = set(), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for _, site, chars, y, fold in rows:
+            if y is not None and fold in folds:
+                marked = "\x02" * order + chars + "\x03"
+                seen |= {(marked[i - k : i + 1], site, y) for i in range(order, len(marked)) for k in range(order + 1)}
+        for tail, _, y in seen:
+            ends[tail][y] += 1
+            contexts[tail[:-1]][y] += 1
+
+        def score(chars):
+            marked, total = "\x02" * order + chars + "\x03", 0.0
+            for i in range(order, len(marked)):
+                p = [1 / 256, 1 / 256]
+                for k in range(order + 1):
+                    p = [(ends[marked[i - k : i + 1]][y] + strength * p[y]) / (contexts[marked[i - k : i]][y] + strength) for y in (0, 1)]
+                total += math.log(p[1] / p[0])
+            return total / (len(chars) + 1)
+
+        return score
+
+    whole, without = model({0, 1}), [model({1}), model({0})]
+    held = sorted((math.ceil(without[f](c) * 1000) / 1000 for _, _, c, y, f in rows if y == 0), reverse=True)
+    threshold = held[int(error * len(held))]
+    return {i: (whole(c), whole(c) > threshold) for i, _, c, _, _ in rows}
+
+
+def test_url_models_against_slow_ones(spark):
+    rnd = random.Random(8)
+    words = ["rose", "tulip", "garden", "casino", "bets", "news"]
+    urls = [(i, f"http://{rnd.choice(words)}{rnd.randrange(9)}.{rnd.choice(['site.org', 'example.net', 'example.com'])}/{rnd.choice(['fr', 'de', 'en'])}/{rnd.choice(words)}/{rnd.randrange(30)}") for i in range(250)]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(urls + [(999, None)], "page_id long, url string"), error=0.05).collect()}
+    rows = []
+    for i, url in [*urls, (999, "://")]:
+        host, _, path = url.split("://")[1].partition("/")
+        site, rest = re.sub(r"(?:(?:^|\.)(?:com|example|net|org))+$", "", host), re.sub(r"^(?:/[^/]*){0,1}", "", "/" + path if path else "")
+        y = None if got[i]["rule"] is None else int(got[i]["verdict"] == "block")
+        rows.append((i, site, site + rest, y))
+    folds = {r["s"]: r["f"] for r in spark.createDataFrame([(x,) for x in {r[1] for r in rows}], "s string").select("s", F.pmod(F.xxhash64("s"), F.lit(2)).alias("f")).collect()}
+    # a URL's text counts once, however many pages have it, with all its classes
+    want = slow_verdicts([(*r, folds[r[1]]) for r in rows], error=0.05)
+    for i, (score, blocked) in want.items():
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9)
+        if got[i]["rule"] is None:
+            assert (got[i]["verdict"] == "block") == blocked
+
+
 # --- toxicity
 
 
