@@ -68,4 +68,4 @@ def enough_evidence(w: Column, h: Column, min_area: int = 450, min_width: int =
 
 def points_to_pixels(v: Column, dpi: int) -> Column:
     """Page points to pixels, halves to even."""
-    return F.bround(v * dpi / 72).cast("int")
+    return F.bround(v * (dpi / 72.0)).cast("int")

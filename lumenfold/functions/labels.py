@@ -64,11 +64,30 @@ def aggregate_id(figure: Column, panel_a: Column, panel_b: Column, row_label: Co
     return F.concat(F.replace(figure, F.lit(" "), F.lit("-")), F.lit("_"), panel_a, F.lit("_vs_"), panel_b, F.lit("_"), row)
 
 
-def html_escape(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+def figure_name(number: Column) -> Column:
+    return F.concat(F.lit("Figure "), number.cast("string"))
 
 
-def optional_number(x: Column) -> Column:
-    return F.when(x.isNull(), "n/a").otherwise(F.format_string("%.4f", x.cast("double")))
+def aggregate_name(number: Column, panel_a: Column, panel_b: Column, row_label: Column, row_index: Column) -> Column:
+    return aggregate_id(figure_name(number), panel_a, panel_b, row_label, row_index)
+
+
+def _row(label: Column) -> Column:
+    return F.coalesce(F.nullif(label, F.lit("")), F.lit("row"))
+
+
+def _slug(number: Column) -> Column:
+    return F.lower(F.replace(figure_name(number), F.lit(" "), F.lit("-")))
+
+
+def match_name(figure: Column, row_label: Column, strip_a: Column, strip_b: Column, score: Column) -> Column:
+    """The file name of a strip match's review image."""
+    return F.format_string("%s_%s_%s_vs_%s_%.3f.png", _slug(figure), _row(row_label), strip_a, strip_b, score)
+
+
+def panel_match_name(figure_a: Column, panel_a: Column, figure_b: Column, panel_b: Column, score: Column) -> Column:
+    return F.format_string("whole-panel_%s-%s_vs_%s-%s_%.3f.png", _slug(figure_a), panel_a, _slug(figure_b), panel_b, score)
+
+
+def aggregate_image_name(figure: Column, row_label: Column, panel_a: Column, panel_b: Column) -> Column:
+    return F.format_string("%s_aggregate_%s_%s_vs_%s.png", _slug(figure), _row(row_label), panel_a, panel_b)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import HIGH, MEDIUM, aggregate_level
 
 # What a review may say.
-STATUSES = ("supports", "uncertain", "does_not_support", "not-run", "error")
+STATUSES = ("supports", "uncertain", "does_not_support")
 
 
 def _mean(c: Column) -> Column:
@@ -17,9 +17,12 @@ def _mean(c: Column) -> Column:
     return F.floor((2 * total + n) / (2.0 * n)) / 10_000.0
 
 
-def match_stats(matches: DataFrame, keys: list[str], top_k: int = 5) -> DataFrame:
-    """matches: keys, id, score, context, orientation, offset. One row for each group: counts, means, the orientation's mode, the offsets' spread."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("context"), "id")
+def match_stats(matches: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """matches: keys, id, score, context, orientation, offset. One row for each group: counts, means, the orientation's mode, the offsets' spread.
+
+    order: how the matches of a group follow each other, by score, context and id if not given.
+    """
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.desc("score"), F.desc("context"), "id"]))
     ranked = matches.withColumn("rank", F.row_number().over(w))
     stats = ranked.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("score") >= HIGH).alias("n_high"), F.count_if((F.col("score") >= MEDIUM) & (F.col("score") < HIGH)).alias("n_medium"),
@@ -65,16 +68,24 @@ def review_columns(status: Column, confidence: Column, rationale: Column, model:
     sure = confidence.try_cast("double")
     name = F.coalesce(F.nullif(model, F.lit("")), F.nullif(agent, F.lit("")), source)
     return {
-        "status": F.when(said.isin(*STATUSES), said).otherwise("uncertain"), "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 3),
-        "rationale": F.substring(F.coalesce(rationale, F.lit("")), 1, 1000), "model": F.substring(name, 1, 120),
+        "status": F.when(said.isin(*STATUSES), said).otherwise("uncertain"), "confidence": F.when(sure.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 3)),
+        "rationale": F.substring(F.trim(F.coalesce(rationale, F.lit(""))), 1, 1000), "model": F.substring(F.trim(name), 1, 120),
     }
 
 
-def merge_reviews(aggregates: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Left join of the last review (by seq) of each aggregate_id; a lone aggregate takes the last review whatever its id."""
+def merge_reviews(aggregates: DataFrame, reviews: DataFrame, alone: bool | None = None) -> DataFrame:
+    """Left join of the last review (by seq) of each aggregate_id; a lone aggregate takes the last review of its id, or else the last of all.
+
+    alone: whether there is one aggregate in all; if not given it is found in the same plan, without a job of its own.
+    """
     w = Window.partitionBy("aggregate_id").orderBy(F.desc("seq"))
-    last = reviews.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "seq")
-    if len(aggregates.limit(2).collect()) == 1:
-        last = reviews.orderBy(F.desc("seq")).limit(1).drop("seq", "aggregate_id")
-        return aggregates.join(last, F.lit(True), "left").fillna({"status": "not-run"})
-    return aggregates.join(last, "aggregate_id", "left").fillna({"status": "not-run"})
+    last = reviews.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    said = [c for c in last.columns if c not in ("aggregate_id", "seq")]
+    out = aggregates.join(last.select("aggregate_id", F.struct(*said).alias("__own")), "aggregate_id", "left")
+    if alone is not False:
+        # one row: the last review of all, and whether there is one aggregate
+        latest = last.agg(F.max_by(F.struct(*said), "seq").alias("__any"))
+        single = F.lit(True) if alone else F.col("__single")
+        out = out.crossJoin(F.broadcast(latest)).crossJoin(F.broadcast(aggregates.limit(2).agg((F.count("*") == 1).alias("__single"))))
+        out = out.withColumn("__own", F.coalesce("__own", F.when(single, F.col("__any")))).drop("__any", "__single")
+    return out.select(*aggregates.columns, *[F.col(f"__own.{c}").alias(c) for c in said]).fillna({"status": "not-run"})

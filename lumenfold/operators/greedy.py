@@ -27,11 +27,11 @@ def non_maximum_suppression(df: DataFrame, key: str, most: int = 48, overlap: fl
     return listed.select(key, F.expr(f"transform({fold}, k -> k.id)").alias("kept"))
 
 
-def assign_one_to_one(pairs: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """pairs: key, a, b and the order columns -> key, a, b, greedily so that no a and no b is used twice."""
-    listed = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "a", "b"))).alias("all"))
+def assign_one_to_one(pairs: DataFrame, key: str, order: list[str], carry: list[str] = ()) -> DataFrame:
+    """pairs: key, a, b, the order columns and those to carry along -> key, a, b, carried ones, greedily so that no a and no b is used twice."""
+    listed = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "a", "b", *carry))).alias("all"))
     fold = "aggregate(all, slice(all, 1, 0), (acc, c) -> IF(exists(acc, k -> k.a = c.a OR k.b = c.b), acc, array_append(acc, c)))"
-    return listed.select(key, F.explode(F.expr(fold)).alias("x")).select(key, "x.a", "x.b")
+    return listed.select(key, F.explode(F.expr(fold)).alias("x")).select(key, "x.a", "x.b", *[f"x.{c}" for c in carry])
 
 
 def offset_support(matches: DataFrame, key: str, within: float = 6.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import expand, intersection, overlap_fraction
@@ -13,7 +13,7 @@ def words_in_boxes(boxes: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """Every (box, word) of a key that overlap, the word's box re-based to the box. boxes: key, id, box; words: key, text, conf, wbox."""
     joined = boxes.join(words, key).where(intersection(F.col("box"), F.col("wbox")) > 0)
     rebased = F.struct(*[(F.col(f"wbox.{c}") - F.col(f"box.{c[0]}0")).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return joined.select(key, "id", "text", "conf", rebased.alias("wbox"))
+    return joined.select(key, "id", *[c for c in words.columns if c not in (key, "wbox")], rebased.alias("wbox"))
 
 
 def without_text_regions(boxes: DataFrame, words: DataFrame, key: str, min_conf: float = 55, w: int = 1 << 30, h: int = 1 << 30) -> DataFrame:
@@ -29,8 +29,6 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, tolerance: float) ->
     Both sides are merged in order of position and each query looks at its neighbours on both sides, so a key with
     many rows makes no pairs.
     """
-    from pyspark.sql import Window
-
     # equal positions: the lowest index stands for all
     single = rows.groupBy(key, "y").agg(F.min("index").alias("index"))
     mixed = queries.select(key, F.col("v").alias("p"), "q", F.lit(None).cast("struct<y:double,index:long>").alias("r")).unionByName(
@@ -52,6 +50,20 @@ def band_pairs(left: DataFrame, right: DataFrame, key: str, tolerance: int) -> D
 
 
 def first_below(titles: DataFrame, captions: DataFrame, key: str) -> DataFrame:
-    """titles: key, t, y; captions: key, c, cy -> key, t and the first caption with cy > y (ties: the lowest c), or null."""
-    joined = titles.join(captions.select(F.col(key).alias("__key"), "c", "cy"), (F.col(key) == F.col("__key")) & (F.col("cy") > F.col("y")), "left")
-    return joined.groupBy(key, "t").agg(F.min(F.when(F.col("c").isNotNull(), F.struct("cy", "c"))).alias("m")).select(key, "t", F.col("m.c").alias("c"), F.col("m.cy").alias("cy"))
+    """titles: key, t, y; captions: key, c, cy -> key, t and the first caption with cy > y (ties: the lowest c), or null.
+
+    Both sides are merged from below: the last caption met before a title is the one, so no pairs are made.
+    """
+    place = F.struct("cy", "c")
+    first = captions.groupBy(key, "cy").agg(F.min("c").alias("c"))
+    kind = place_type(captions)
+    mixed = titles.select(key, F.col("y").cast("double").alias("p"), F.lit(True).alias("title"), "t", F.lit(None).cast(kind).alias("m")).unionByName(
+        first.select(key, F.col("cy").cast("double").alias("p"), F.lit(False).alias("title"), F.lit(None).cast(titles.schema["t"].dataType).alias("t"), place.alias("m"))
+    )
+    # downwards, a title before captions of its own position, which aren't below it
+    below = F.last("m", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("p"), F.desc("title")))
+    return mixed.withColumn("m", below).where("title").select(key, "t", F.col("m.c").alias("c"), F.col("m.cy").alias("cy"))
+
+
+def place_type(captions: DataFrame) -> str:
+    return f"struct<cy:{captions.schema['cy'].dataType.simpleString()},c:{captions.schema['c'].dataType.simpleString()}>"

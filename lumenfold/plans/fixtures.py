@@ -49,7 +49,7 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:
     days = F.expr("datediff(l_shipdate, date'1990-01-01')")
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), days.alias("x0"), (days + F.col("l_quantity").cast("int")).alias("x1"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), days.alias("x0"), (days + F.col("l_quantity").cast("int")).alias("x1"))
 
 
 SQL_VIEWS = """
@@ -61,5 +61,5 @@ boxes AS (SELECT figure, sid AS id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM stri
 words AS (SELECT o_orderkey // 8 AS figure, o_orderpriority AS text, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS conf,
           o_custkey % 200 AS wx0, o_orderkey % 120 AS wy0, o_custkey % 200 + 20 AS wx1, o_orderkey % 120 + 8 AS wy1 FROM orders),
 profile AS (SELECT l_suppkey AS key, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 7 AS bin, count(*) AS value FROM lineitem GROUP BY ALL),
-intervals AS (SELECT l_suppkey AS key, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS x0, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + CAST(trunc(l_quantity) AS INT) AS x1 FROM lineitem WHERE l_linenumber = 1)
+intervals AS (SELECT l_partkey AS key, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS x0, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + CAST(trunc(l_quantity) AS INT) AS x1 FROM lineitem)
 """

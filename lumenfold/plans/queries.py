@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import labels
 from ..functions.render import escaped
-from ..operators import evidence, greedy, sequences, similarity, spatial
-from ..sources.readers import expand_pages, layout_matches
-from ..sources.sinks import panel_totals
+from ..operators import evidence, figures, greedy, panels, screening, sequences, similarity, spatial
+from ..sources.adapters import match_places
+from ..sources.readers import TITLE, expand_pages, layout_matches
+from ..sources.sinks import PROMPT, panel_totals, review_prompt
 from . import fixtures as fx
 from .fixtures import SQL_VIEWS, table
 
@@ -71,12 +72,12 @@ def label_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", raw.alias("raw"), labels.protein_label(raw).alias("protein"), labels.panel_label(raw).alias("panel"))
 
 
-@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-'), ''), 'image') AS stem,
-          'Figure-' || page_id || '_A_vs_B_' || CASE WHEN page_id % 2 = 0 THEN 'TBK1' ELSE 'row-' || page_id % 5 END AS id FROM pages WHERE url NOT LIKE '%.html%'""", False)
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '[^A-Za-z0-9._-]+', '-', 'g'), '-'), ''), 'image') AS stem,
+          'Figure-' || page_id || '_A_vs_B_' || CASE WHEN page_id % 2 = 0 THEN 'TBK1' ELSE 'row-' || page_id % 5 END AS id FROM pages""", False)
 def names_and_ids(spark: SparkSession, d: str) -> DataFrame:
     path = F.substring_index(F.substring_index("url", "?", 1), "#", 1)
     row = F.when(C("page_id") % 2 == 0, "TBK1")
-    return table(spark, d, "pages").where("url NOT LIKE '%.html%'").select(
+    return table(spark, d, "pages").select(
         "page_id", labels.file_stem(path).alias("stem"), labels.aggregate_id(F.concat(F.lit("Figure "), "page_id"), F.lit("A"), F.lit("B"), row, C("page_id") % 5).alias("id")
     )
 
@@ -103,7 +104,7 @@ def row_match_optional(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOP = f"""SELECT figure, sid_a, sid_b, row_match, round(raw, 4) AS score FROM (
-    SELECT p.*, list_cosine_similarity(x.v, y.v) AS raw FROM ({_PAIRS}) p JOIN vecs x ON x.vec_id = va JOIN vecs y ON y.vec_id = vb WHERE {_STATUS} = 'candidate' AND va <> vb)
+    SELECT p.*, list_cosine_similarity(x.v, y.v) AS raw FROM ({_PAIRS}) p JOIN vecs x ON x.vec_id = va JOIN vecs y ON y.vec_id = vb WHERE {_STATUS} = 'candidate')
     WHERE raw >= 0.3 ORDER BY CASE row_match WHEN 'label' THEN 2 ELSE 1 END DESC, score DESC, figure, sid_a, sid_b LIMIT 40"""
 _VECS = "(SELECT vec_id, label, list_transform(embedding, lambda x: x - list_avg(list_transform(embedding, lambda z: CAST(z AS DOUBLE)))) AS v FROM (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS embedding FROM embeddings))"
 
@@ -111,7 +112,7 @@ _VECS = "(SELECT vec_id, label, list_transform(embedding, lambda x: x - list_avg
 @query(_TOP.replace("JOIN vecs", f"JOIN {_VECS}"))
 def strip_pair_topn(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: blocked self-join, cascade, correlation of vectors made once, the best forty."""
-    pairs = similarity.strip_pairs(fx.strips(spark, d)).where("vec_id_a <> vec_id_b")
+    pairs = similarity.candidate_pairs(fx.strips(spark, d))
     return similarity.best_matches(pairs, fx.vectors(spark, d), min_score=0.3).select("figure", "sid_a", "sid_b", "row_match", "score")
 
 
@@ -134,9 +135,9 @@ def panel_pair_bucketed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM {_VECS} a JOIN {_VECS} b ON a.label = b.label AND a.vec_id < b.vec_id ORDER BY score DESC, a, b LIMIT 20", False)
 def vector_correlation_top20(spark: SparkSession, d: str) -> DataFrame:
-    v = fx.vectors(spark, d)
-    pairs = v.select("label", C("vec_id").alias("a"), C("v").alias("va")).join(v.select("label", C("vec_id").alias("b"), C("v").alias("vb")), "label").where("a < b")
-    return pairs.select("a", "b", F.round(similarity.ncc(C("va"), C("vb")), 4).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20)
+    v = fx.vectors(spark, d).select("label", "vec_id", similarity.unit(C("v")).alias("v"))
+    pairs = similarity.blocked_pairs(v, "label", "vec_id")
+    return pairs.select(C("a.vec_id").alias("a"), C("b.vec_id").alias("b"), F.round(similarity.dot(C("a.v"), C("b.v")), 4).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20)
 
 
 @query("""SELECT key, min(bin) AS begin, max(bin) + 1 AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY bin) AS island FROM (
@@ -242,14 +243,23 @@ def keep_if_far(spark: SparkSession, d: str) -> DataFrame:
     return greedy.keep_if_far(table(spark, d, "events").select(C("user_id").alias("key"), F.floor("value").alias("v")), "key", "v", 12)
 
 
-@query()
+_FOLD = "list_reduce(list_prepend(CAST([] AS {kind}[]), list_transform({all}, lambda c: [c])), lambda acc, c: CASE WHEN {skip} THEN acc ELSE list_concat(acc, c) END)"
+_UNIQUE = "len(list_filter(acc, lambda k: k.a = c[1].a OR k.b = c[1].b)) > 0"
+
+
+@query("SELECT key, list_transform(" + _FOLD.format(
+    kind="STRUCT(id BIGINT, a INT, b INT)", all="cands", skip="len(acc) >= 48 OR len(list_filter(acc, lambda k: greatest(0, least(k.b, c[1].b) - greatest(k.a, c[1].a)) > 0.65 * least(k.b - k.a, c[1].b - c[1].a) AND least(k.b - k.a, c[1].b - c[1].a) > 0.35 * greatest(k.b - k.a, c[1].b - c[1].a))) > 0",
+) + """, lambda k: k.id) AS kept FROM (SELECT l_suppkey AS key, list({'id': l_orderkey * 10 + l_linenumber, 'a': CAST(trunc(l_quantity) AS INT) + CAST(trunc(l_discount * 1000) AS INT),
+        'b': CAST(trunc(l_quantity) AS INT) + CAST(trunc(l_discount * 1000) AS INT) + CAST(trunc(l_quantity) AS INT)} ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS cands FROM lineitem GROUP BY 1)""", False)
 def nms_fold(spark: SparkSession, d: str) -> DataFrame:
     x0, y0 = F.expr("cast(l_quantity as int) + cast(l_discount * 1000 as int)"), F.lit(0)
     rows = table(spark, d, "lineitem").select(C("l_suppkey").alias("key"), F.expr("l_orderkey * 10 + l_linenumber").alias("id"), g.box(x0, y0, x0 + C("l_quantity").cast("int"), y0 + 10).alias("box"), C("l_extendedprice").alias("score"))
     return greedy.non_maximum_suppression(rows, "key")
 
 
-@query()
+@query("SELECT figure, x.a AS a, x.b AS b FROM (SELECT figure, unnest(" + _FOLD.format(kind="STRUCT(a BIGINT, b BIGINT)", all="pairs", skip=_UNIQUE) + """) AS x FROM (
+          SELECT t.figure, list({'a': t.id, 'b': w.b} ORDER BY abs(t.y0 - w.wy0), -w.conf, t.y0, t.id, w.b) AS pairs FROM boxes t JOIN
+          (SELECT *, row_number() OVER (PARTITION BY figure ORDER BY wx0, wy0, wx1, wy1, conf) AS b FROM words) w ON t.figure = w.figure AND abs(t.y0 - w.wy0) <= 12 GROUP BY 1))""")
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     a = fx.boxes(spark, d).select("figure", C("id").alias("a"), C("box.y0").alias("ya"))
     b = sequences.numbered(fx.words(spark, d), ["figure"], ["wbox", "conf"], "b").select("figure", "b", C("wbox.y0").alias("yb"), "conf")
@@ -257,10 +267,15 @@ def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     return greedy.assign_one_to_one(pairs, "figure", ["gap", "sure", "ya"])
 
 
-@query()
+@query(f"""WITH m AS (SELECT *, id % 7 AS a, id % 11 AS b FROM {_MATCHES}), centres AS (SELECT DISTINCT key, round(o, 1) AS centre FROM m),
+          near AS (SELECT m.key, centre, list({{'a': a, 'b': b, 's': score}} ORDER BY score DESC, context DESC, a, b) AS pairs FROM m JOIN centres c ON m.key = c.key AND abs(o - centre) <= 6 GROUP BY 1, 2),
+          taken AS (SELECT key, centre, """ + _FOLD.format(kind="STRUCT(a BIGINT, b BIGINT, s DOUBLE)", all="pairs", skip=_UNIQUE) + """ AS t FROM near)
+          SELECT key, centre AS "offset", len(t) AS n, round(list_sum(list_transform(t, lambda k: k.s)), 6) AS total FROM (
+          SELECT *, row_number() OVER (PARTITION BY key ORDER BY len(t) DESC, round(list_sum(list_transform(t, lambda k: k.s)), 9) DESC, centre) AS r FROM taken) WHERE r = 1""", False)
 def offset_cluster_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     m = _matches(spark, d).withColumn("a", C("id") % 7).withColumn("b", C("id") % 11)
-    return greedy.offset_support(m, "key")
+    found = greedy.offset_support(m, "key")
+    return found.select("key", "offset", F.size("support").cast("long").alias("n"), F.round(F.aggregate("support", F.lit(0.0), lambda x, k: x + k["score"]), 6).alias("total"))
 
 
 @query("""SELECT DISTINCT o_orderkey AS key, page FROM (SELECT o_orderkey, unnest(range(greatest(1, o_orderkey % 5), least(8, o_orderkey % 11) + 1)) AS page FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 9 FROM orders WHERE o_orderkey % 9 BETWEEN 1 AND 8)""", False)
@@ -269,11 +284,14 @@ def page_spec_expand(spark: SparkSession, d: str) -> DataFrame:
     return expand_pages(o, "key", "spec", "n")
 
 
-@query("SELECT event_id, round(greatest(0.0, least(1.0, CAST(json_extract(props, '$.k') AS DOUBLE) / 100)), 3) AS confidence, CASE WHEN event_type = 'error' THEN 'error' ELSE 'uncertain' END AS status FROM events", False)
+_SAID = "CASE event_id % 5 WHEN 0 THEN ' Supports ' WHEN 1 THEN 'does_not_support' WHEN 2 THEN 'UNCERTAIN' WHEN 3 THEN 'error' ELSE event_type END"
+
+
+@query(f"""SELECT event_id, round(greatest(0.0, least(1.0, CAST(json_extract(props, '$.k') AS DOUBLE) / 50 - 0.5)), 3) AS confidence, CASE WHEN lower(trim({_SAID})) IN ('supports', 'uncertain', 'does_not_support') THEN lower(trim({_SAID})) ELSE 'uncertain' END AS status FROM events""", False)
 def review_clamp(spark: SparkSession, d: str) -> DataFrame:
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double") / 100
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double") / 50 - 0.5
     none = F.lit(None).cast("string")
-    return table(spark, d, "events").withColumns(evidence.review_columns(C("event_type"), k.cast("string"), none, none, none, F.lit("file"))).select("event_id", "confidence", "status")
+    return table(spark, d, "events").withColumns(evidence.review_columns(F.expr(_SAID), k.cast("string"), none, none, none, F.lit("file"))).select("event_id", "confidence", "status")
 
 
 @query("SELECT c_custkey AS aggregate_id, coalesce(arg_max(event_type, event_id), 'not-run') AS status FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1", False)
@@ -297,3 +315,131 @@ def html_escape(spark: SparkSession, d: str) -> DataFrame:
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
     source = F.when(C("l_returnflag") == "A", "ocr").otherwise("row_major")
     return panel_totals(table(spark, d, "lineitem").select(source.alias("label_source"), C("l_linenumber").alias("text_filtered"), C("l_quantity").alias("small_filtered")))
+
+
+@query(r"""SELECT page_id, 0 AS title_at, strpos(line, '(A-B.') AS caption_at, strpos(line, ') C.') + 1 AS last_at FROM (SELECT page_id, 'Figure ' || page_id || '. (A-B. shown) C. end' AS line FROM pages)""", False)
+def match_positions(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("Figure "), "page_id", F.lit(". (A-B. shown) C. end"))
+    captions = match_places(line, r"\b[A-Z](?:-[A-Z])?\.")
+    return table(spark, d, "pages").select("page_id", match_places(line, TITLE)[0]["at"].alias("title_at"), captions[0]["at"].alias("caption_at"), captions[1]["at"].alias("last_at"))
+
+
+_LAYOUT = """SELECT o_orderkey // 8 AS page, 600.0 AS width, 800.0 AS height, CASE WHEN o_orderkey % 3 = 0 THEN 'figure_title' ELSE 'panel_caption' END AS kind,
+    CASE WHEN o_orderkey % 21 = 0 THEN 'Supplementary Figure ' || o_orderkey WHEN o_orderkey % 3 = 0 THEN 'Figure ' || o_orderkey ELSE 'A.' END AS text,
+    CAST(o_orderkey % 8 AS INT) AS "index", CAST(o_custkey % 300 AS DOUBLE) AS x, CAST(o_custkey % 97 * 8 AS DOUBLE) AS y, 40.0 AS w, 12.0 AS h FROM orders"""
+
+
+@query(f"""WITH m AS ({_LAYOUT}), px AS (SELECT *, CAST(round_even((800.0 - (y + h)) * 2.5, 0) AS INT) AS top FROM m),
+          t AS (SELECT page, CAST(regexp_extract(text, '([0-9]+)', 1) AS INT) AS figure, "index" AS i, top + 30 + 14 AS crop_top FROM px WHERE kind = 'figure_title' AND text NOT LIKE 'Supp%')
+          SELECT figure, page, crop_top, crop_bottom FROM (SELECT figure, t.page, crop_top, coalesce(min(c.top) - 8, 1920) AS crop_bottom FROM t LEFT JOIN px c
+          ON c.page = t.page AND c.kind = 'panel_caption' AND c.x <= 210 AND c."index" > t.i AND c.top > t.crop_top GROUP BY figure, t.page, i, crop_top) WHERE crop_bottom - crop_top >= 100""", False)
+def figure_discovery(spark: SparkSession, d: str) -> DataFrame:
+    e = F.expr
+    text = e("case when o_orderkey % 21 = 0 then concat('Supplementary Figure ', o_orderkey) when o_orderkey % 3 = 0 then concat('Figure ', o_orderkey) else 'A.' end")
+    rows = table(spark, d, "orders").select(
+        e("o_orderkey div 8").alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), e("if(o_orderkey % 3 = 0, 'figure_title', 'panel_caption')").alias("kind"), text.alias("text"),
+        e("cast(o_orderkey % 8 as int)").alias("index"), e("cast(o_custkey % 300 as double)").alias("x"), e("cast(o_custkey % 97 * 8 as double)").alias("y"), F.lit(40.0).alias("w"), F.lit(12.0).alias("h"),
+    )
+    return figures.discover_figures(rows, 180)
+
+
+_CANDIDATES = "SELECT figure, id AS n, CASE id % 3 WHEN 0 THEN 'window' WHEN 1 THEN 'band' ELSE 'lane' END AS kind, x0, y0, x1 - id % 4 * 8 AS x1, y1 - id % 3 * 4 AS y1, id % 20 / 2.0 AS spread, id % 7 / 100.0 AS dark FROM boxes"
+
+
+@query(f"""SELECT figure, n, round(spread + dark * CASE kind WHEN 'window' THEN 0 WHEN 'band' THEN 20 ELSE 22 END, 4) AS rank,
+          CASE WHEN kind <> 'window' AND NOT (x1 - x0 >= 18 AND y1 - y0 >= 12 AND (x1 - x0) * (y1 - y0) >= 450) THEN 'small'
+               WHEN spread < CASE kind WHEN 'band' THEN 6 ELSE 5 END OR dark < CASE kind WHEN 'window' THEN 0.015 WHEN 'band' THEN 0.035 ELSE 0.025 END THEN 'flat'
+               WHEN EXISTS (SELECT 1 FROM (SELECT figure AS f, greatest(0, wx0 - 3) AS wx0, greatest(0, wy0 - 2) AS wy0, wx1 + 3 AS wx1, wy1 + 2 AS wy1 FROM words WHERE conf >= 55) w WHERE f = figure
+                    AND greatest(0, least(x1, wx1) - greatest(x0, wx0)) * greatest(0, least(y1, wy1) - greatest(y0, wy0)) > 0.6 * (wx1 - wx0) * (wy1 - wy0)
+                    AND greatest(0, least(x1, wx1) - greatest(x0, wx0)) * greatest(0, least(y1, wy1) - greatest(y0, wy0)) > 0.3 * (x1 - x0) * (y1 - y0)) THEN 'text' ELSE 'candidate' END AS status FROM ({_CANDIDATES})""")
+def strip_gates(spark: SparkSession, d: str) -> DataFrame:
+    e = F.expr
+    b = fx.boxes(spark, d).select(
+        "figure", C("id").alias("n"), e("case id % 3 when 0 then 'window' when 1 then 'band' else 'lane' end").alias("kind"),
+        g.box(C("box.x0"), C("box.y0"), C("box.x1") - C("id") % 4 * 8, C("box.y1") - C("id") % 3 * 4).alias("box"), e("id % 20 / 2.0D").alias("spread"), e("id % 7 / 100.0D").alias("dark"),
+    )
+    return panels.judged_strips(b, fx.words(spark, d), ["figure"]).select("figure", "n", F.round("rank", 4).alias("rank"), "status")
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.strips(spark, d).groupBy("figure", "panel", C("w").alias("row_index")).agg(F.min("row_label").alias("row_label"), F.lit("image").alias("source"), F.lit(9.0).alias("confidence"))
+    return s.withColumn("page", C("figure")).select("figure", "page", "panel", "row_index", "row_label", "source", "confidence")
+
+
+_ROWS = "(SELECT figure, panel, w AS row_index, min(row_label) AS row_label FROM strips GROUP BY ALL)"
+
+
+@query(f"""SELECT r.figure, r.panel, r.row_index, CASE WHEN r.row_label IS NULL AND NOT EXISTS (SELECT 1 FROM {_ROWS} o WHERE o.figure = r.figure AND o.panel = r.panel AND o.row_label = u.row_label) THEN u.row_label ELSE r.row_label END AS row_label,
+          CASE WHEN r.row_label IS NULL AND u.row_label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_ROWS} o WHERE o.figure = r.figure AND o.panel = r.panel AND o.row_label = u.row_label) THEN 'propagated' ELSE 'image' END AS source
+          FROM {_ROWS} r LEFT JOIN (SELECT figure, row_index, min(row_label) AS row_label FROM {_ROWS} GROUP BY 1, 2 HAVING count(DISTINCT row_label) = 1) u ON u.figure = r.figure AND u.row_index = r.row_index""")
+def row_label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    return panels.propagated_rows(_rows(spark, d), ["figure", "page", "panel"]).select("figure", "panel", "row_index", "row_label", "source")
+
+
+@query(f"""SELECT s.figure, sid, coalesce(s.row_label, r.row_label) AS row_label, CASE WHEN s.row_label IS NULL AND r.row_label IS NOT NULL THEN 'image' END AS row_source
+          FROM strips s LEFT JOIN {_ROWS} r ON r.figure = s.figure AND r.panel = s.panel AND r.row_index = s.w""")
+def strip_relabelling(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.strips(spark, d).select("figure", C("figure").alias("page"), "panel", "sid", C("w").alias("row_index"), "row_label", F.lit(None).cast("string").alias("row_source"))
+    return panels.relabelled_strips(s, _rows(spark, d), ["figure", "page", "panel"]).select("figure", "sid", "row_label", "row_source")
+
+
+@query("SELECT p_partkey, CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INT)) ELSE 'P' || k END AS panel FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)", False)
+def fallback_letters(spark: SparkSession, d: str) -> DataFrame:
+    b = sequences.numbered(table(spark, d, "part").select("p_partkey", C("p_brand").alias("figure")), ["figure"], ["p_partkey"], "ord", 0).withColumn("box", g.box(F.lit(0), F.lit(0), F.lit(9), F.lit(9)))
+    none = spark.createDataFrame([], "figure string, w int, text string, conf double, wbox struct<x0:int,y0:int,x1:int,y1:int>")
+    return panels.label_panels(b, none, "figure").select("p_partkey", "panel")
+
+
+@query()
+def panel_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Letters read in the corners of boxes, greedily assigned; the other boxes get the letters left over."""
+    letters = sequences.numbered(fx.words(spark, d), ["figure"], ["wbox", "conf"], "w").withColumn("text", F.substring(F.lit(panels.LETTERS), (C("w") % 9 + 1).cast("int"), F.lit(1)))
+    return panels.label_panels(fx.boxes(spark, d).withColumnRenamed("id", "ord"), letters, "figure").select("figure", "ord", "panel", "label_source", "label_confidence")
+
+
+@query()
+def row_major_order(spark: SparkSession, d: str) -> DataFrame:
+    return panels.row_major(fx.boxes(spark, d), "figure")
+
+
+@query(f"""SELECT page, panel_pairs_considered, skipped_scope, skipped_blot FROM (SELECT 0 AS page, (SELECT count(*) * (count(*) - 1) // 2 FROM part) AS panel_pairs_considered,
+          (SELECT count(*) * (count(*) - 1) // 2 FROM part) - sum(n * (n - 1) // 2) AS skipped_scope, CAST(sum(n * (n - 1) // 2 - k * (k - 1) // 2) AS BIGINT) AS skipped_blot FROM (SELECT p_brand, count(*) AS n, count(*) FILTER (p_size % 5 <> 0) AS k FROM part GROUP BY 1))""", False)
+def panel_counters(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(C("p_brand").alias("figure"), F.lit(0).alias("page"), C("p_partkey").cast("string").alias("panel"), C("p_partkey").alias("ord"), F.when(C("p_size") % 5 == 0, "blot").otherwise("other").alias("category"), g.box(F.lit(0), F.lit(0), C("p_size"), F.lit(10)).alias("box"))
+    pairs, counts = screening.panel_candidates(p, screening.Settings())
+    return counts.select(F.lit(0).alias("page"), C("all").alias("panel_pairs_considered"), (C("all") - C("inside")).alias("skipped_scope"), (C("inside") - C("plain")).alias("skipped_blot"))
+
+
+@query(f"""SELECT key AS aggregate_id, level, n, top FROM (SELECT key, n, top, CASE WHEN n >= 2 AND n_high >= 2 AND m3 >= 0.9 THEN 'high' WHEN n >= 2 AND m3 >= 0.82 THEN 'medium' ELSE 'low' END AS level, m3 FROM (
+          SELECT key, count(*) AS n, count(*) FILTER (score >= 0.9) AS n_high, max(score) AS top, floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) FILTER (r <= 3) + count(score) FILTER (r <= 3)) / (2.0 * count(score) FILTER (r <= 3))) / 10000.0 AS m3
+          FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, context DESC, id) AS r FROM {_MATCHES}) GROUP BY key))
+          ORDER BY CASE level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, n DESC, m3 DESC, top DESC, key LIMIT 25""", False)
+def aggregate_order(spark: SparkSession, d: str) -> DataFrame:
+    """The best 25 groups, a top-k report."""
+    none = F.lit(None).cast("string")
+    a = evidence.match_stats(_matches(spark, d), ["key"]).select(
+        C("key").alias("figure"), none.alias("page"), none.alias("panel_a"), none.alias("panel_b"), none.alias("row_label"), none.alias("row_index_a"), none.alias("row_index_b"), "level", C("n").alias("match_count"), C("mean_top3").alias("mean_top_score"), "top_score"
+    )
+    return screening.best_aggregates_first(a).limit(25).select(C("figure").alias("aggregate_id"), "level", C("match_count").alias("n"), C("top_score").alias("top"))
+
+
+@query("""SELECT event_id, 'figure-' || user_id || '_' || CASE WHEN event_id % 3 = 0 THEN 'TBK1' ELSE 'row' END || '_A-strip-01_vs_B-strip-02_' || printf('%.3f', value) || '.png' AS name FROM events""", False)
+def review_names(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(C("event_id") % 3 == 0, "TBK1")
+    return table(spark, d, "events").select("event_id", labels.match_name(C("user_id"), label, F.lit("A-strip-01"), F.lit("B-strip-02"), C("value")).alias("name"))
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS id, '{PROMPT}' || 'aggregate_id=' || p_partkey || '; checked_image=x.png; figure=Figure 7; panels=A vs B; row=' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END
+          || '; independent_local_matches=3; raw_pairwise_matches=' || p_size || '; top_score=0.9; mean_top_score=None; mean_context_score=None; dominant_orientation=none; lane_offset_std=None; full_row_score=None.' AS prompt FROM part""", False)
+def review_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(
+        C("p_partkey").cast("string").alias("aggregate_id"), F.lit(7).alias("figure"), F.lit("A").alias("panel_a"), F.lit("B").alias("panel_b"), F.when(C("p_size") % 2 == 0, C("p_brand")).alias("row_label"), C("p_size").alias("row_index_a"),
+        F.lit(3).alias("match_count"), C("p_size").alias("raw_match_count"), F.lit(0.9).alias("top_score"), F.lit("none").alias("dominant_orientation"), *[F.lit(None).cast("double").alias(n) for n in ("mean_top_score", "mean_context_score", "lane_offset_std", "full_row_score")],
+    )
+    return rows.select(C("aggregate_id").alias("id"), review_prompt(F.lit("x.png")).alias("prompt"))
+
+
+@query("SELECT l_suppkey AS key, count(DISTINCT l_orderkey // 8) AS pages, count(DISTINCT round(l_discount * 10, 1)) AS offsets, list_sort(list(DISTINCT l_returnflag)) AS labels FROM lineitem GROUP BY 1", False)
+def distinct_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy(C("l_suppkey").alias("key"))
+    return rows.agg(F.count_distinct(F.expr("l_orderkey div 8")).alias("pages"), F.count_distinct(F.round(C("l_discount") * 10, 1)).alias("offsets"), F.array_sort(F.collect_set("l_returnflag")).alias("labels"))

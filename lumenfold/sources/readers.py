@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +46,10 @@ def layout_matches(text: Column) -> Column:
 
 def read_ocr(spark: SparkSession, path: str, scale: float = 2.0) -> DataFrame:
     """text, conf, wbox of an OCR table; rows with blank texts, bad numbers or negative confidence are dropped."""
-    raw = spark.read.csv(path, sep="\t", header=True, quote="")
-    number = lambda c: F.col(c).try_cast("double")
-    at = lambda v: (v / scale).cast("int")
-    x, y, w, h = (number(c) for c in ("left", "top", "width", "height"))
-    kept = raw.where((F.trim("text") != "") & (number("conf") >= 0) & x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull())
-    return kept.select(F.trim("text").alias("text"), number("conf").alias("conf"), F.struct(at(x).alias("x0"), at(y).alias("y0"), at(x + w).alias("x1"), at(y + h).alias("y1")).alias("wbox"))
+    from .adapters import parsed_words
+
+    raw = spark.read.csv(path, sep="\t", header=True, quote="").withColumn("w", F.monotonically_increasing_id())
+    return parsed_words(raw, [], scale).drop("w")
 
 
 def tolerant_object(text: Column) -> Column:
@@ -60,19 +60,20 @@ def tolerant_object(text: Column) -> Column:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review items of a file that is a list, {"reviews": [...]}, {"results": [...]} or one object; seq is their order."""
+    """Review items of files that are a list, {"reviews": [...]}, {"results": [...]} or one object each; seq is their order, by file name, then place."""
     item = "ARRAY<STRUCT<aggregate_id STRING, status STRING, confidence STRING, rationale STRING, checked_image STRING, model STRING, agent STRING>>"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     listed = F.coalesce(F.from_json("value", item), F.lit(None).cast(item))
     held = F.from_json("value", f"reviews {item}, results {item}")
     single = F.array(F.from_json("value", item[len("ARRAY<") : -1].replace("STRUCT<", "STRUCT<")))
     trimmed = F.ltrim(F.col("value"))
     items = F.when(trimmed.startswith("["), listed).otherwise(F.coalesce(held["reviews"], held["results"], single))
-    return text.select(F.posexplode(items).alias("seq", "x")).where("x IS NOT NULL").select("seq", "x.*")
+    return text.select("file", F.posexplode(items).alias("place", "x")).where("x IS NOT NULL").select(F.struct("file", "place").alias("seq"), "x.*")
 
 
 def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """figure (from 1, in the given order), path and the decoded image; WebP has no reader in Spark."""
-    order = spark.createDataFrame([(k, p.rpartition("/")[2]) for k, p in enumerate(paths, 1)], "figure int, name string")
-    images = spark.read.format("image").option("dropInvalid", True).load(paths)
-    return images.withColumn("name", F.regexp_extract("image.origin", "([^/]*)$", 1)).join(F.broadcast(order), "name").select("figure", "name", "image")
+    """figure (from 1, in the given order), name and the decoded image of each path; WebP has no reader in Spark."""
+    plain = lambda p: re.sub("^file:/*", "/", p if ":" in p else "/" + p.lstrip("/"))
+    order = spark.createDataFrame([(k, plain(p), p.rpartition("/")[2]) for k, p in enumerate(paths, 1)], "figure int, path string, name string")
+    images = spark.read.format("image").option("dropInvalid", True).load(paths).withColumn("path", F.regexp_replace(F.url_decode("image.origin"), "^file:/*", "/"))
+    return images.join(F.broadcast(order), "path").select("figure", "name", "image")  # as many rows as paths are given
