@@ -83,7 +83,7 @@ def likeness(text: bytes) -> int:
 class Known(dict):
     """Of each word met so far the numbers of its grams that matter; forgets all when full, so memory stays bounded."""
 
-    def __init__(self, numbers: dict[bytes, int], most: int = 1 << 19):
+    def __init__(self, numbers: dict[bytes, int], most: int = 1 << 17):
         super().__init__()
         self.numbers, self.most = numbers, most
 
@@ -157,7 +157,7 @@ def tallied(rows: DataFrame) -> DataFrame:
                     reached[sum(n / (len(words) + EXTRA) >= x for x in LEVELS[1:])].append(g)
                 for level, grams in reached.items():
                     counts[level, y].update(grams)
-            if sum(map(len, counts.values())) > 1 << 20:
+            if sum(map(len, counts.values())) > 1 << 18:
                 yield listed(counts)
         yield listed(counts)
 

@@ -62,7 +62,8 @@ def test_marks_follow_similarity():
     for _ in range(60):
         a = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
         b = [*a[:180], *(f"w{rnd.randrange(10**6)}" for _ in range(22))]  # similarity about 0.8
-        (k, s), (m, t) = (marks(WordHashes().of([w.encode() for w in x]), 5, 24, 4) for x in (a, b))
+        (k, s, _, p), (m, t, _, q) = (marks(WordHashes().of([w.encode() for w in x]), 5, 24, 4) for x in (a, b))
         shared.append(len(set(k) & set(m)))
+        assert (np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum() >= 84
         apart.append(int(np.bitwise_count((s ^ t).view(np.uint64)).sum()))
     assert min(shared) > 0 and max(apart) <= 28 and 5 < np.mean(shared) < 15 and 7 < np.mean(apart) < 19
