@@ -83,12 +83,17 @@ def unpack(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
     least = raw[begins[:, None] + np.arange(4)].view("<u4")
     width, n_out = raw[begins + 4].astype(np.int64), raw[begins + 5].astype(np.int64)
     out = np.zeros((len(begins), BLOCK), np.uint32)
+    at = np.arange(BLOCK)
     for w in np.unique(width[width > 0]).tolist():
-        rows, cells = np.flatnonzero(width == w), _cells(w)
-        bits = np.unpackbits(raw[begins[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        filled = np.zeros((len(rows), BLOCK, 8 * cells.itemsize), np.uint8)
-        filled[:, :, :w] = bits
-        out[rows] = np.packbits(filled, axis=2, bitorder="little").view(cells)[:, :, 0]
+        rows = np.flatnonzero(width == w)
+        packed = np.zeros((BLOCK // 8 * w + 4, len(rows)), np.uint8)  # four bytes behind, as the last ids look ahead
+        packed[:-4] = raw[begins[rows][None, :] + 6 + np.arange(BLOCK // 8 * w)[:, None]]
+        # the five bytes from the one in which an id begins hold it whole
+        first, shift, wide = at * w // 8, (at * w % 8).astype(np.uint64)[:, None], np.uint64 if w > 25 else np.uint32
+        ids = packed[first].astype(wide)
+        for k in range(1, 5 if w > 25 else 4 if w > 17 else 3):
+            ids |= packed[first + k].astype(wide) << wide(8 * k)
+        out[rows] = (ids >> shift.astype(wide) & wide((1 << w) - 1)).T
     where = np.repeat(np.arange(len(begins)), n_out)
     rank = np.arange(len(where)) - (np.cumsum(n_out) - n_out)[where]
     tail = begins[where] + 6 + BLOCK // 8 * width[where]

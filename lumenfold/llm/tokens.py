@@ -69,7 +69,8 @@ class Encoder:
             self.known, self.older = {}, self.known
         cut = [None if self.unsettled(t) or any(a in t for a in self.added) else self.cut(t) for t in texts]
         unknown = set(chain.from_iterable(filter(None, cut))).difference(self.known)
-        self.known.update((p, self.older[p]) for p in unknown if p in self.older)
+        if self.older:
+            self.known.update((p, self.older[p]) for p in unknown if p in self.older)
         if new := list(unknown.difference(self.known)):
             self.known.update(zip(new, self._whole(new)))
         ids = self.known.__getitem__
