@@ -88,8 +88,8 @@ def log_ratios(types: DataFrame, seen: DataFrame, order: int, strength: float) -
     contexts = ends.groupBy(before.alias("context")).agg(*[F.sum(c).alias(f"c{c}") for c in COUNTS])
     asked = types.select("gram", F.explode(_tails(F.col("gram"), order)).alias("tail")).join(ends, "tail", "left").withColumn("context", before)
     # one in order + 1 rows has the empty context: its sums are one row, which is broadcast; the others are parted by their contexts
-    none = asked.where("context = ''").crossJoin(F.broadcast(contexts.where("context = ''").drop("context").limit(1)))
-    found = asked.where("context <> ''").join(contexts, "context", "left").select(none.columns).unionByName(none).na.fill(0, [*COUNTS, *[f"c{c}" for c in COUNTS]])
+    none = asked.where("context = ''").join(F.broadcast(contexts.where("context = ''")), "context", "left")
+    found = asked.where("context <> ''").join(contexts, "context", "left").unionByName(none).na.fill(0, [*COUNTS, *[f"c{c}" for c in COUNTS]])
     chain = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(F.length("tail").alias("n"), *COUNTS, *[f"c{c}" for c in COUNTS]))).alias("levels"))  # order + 1 levels
 
     def ratio(folds: tuple[int, ...]) -> Column:
