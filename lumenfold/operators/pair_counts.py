@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 MOST_BLOCKS = 512  # the driver holds the square of it as 64-bit counts
 
@@ -105,3 +109,38 @@ def panel_pair_counts(panels: DataFrame, min_ratio: float = 0.65, block_rows: in
     asked = cells.mapInArrow(ask, "bucket int, sign int, block int, x double, area double, n long")
     met = asked.groupBy("bucket").applyInArrow(across, "block int, area double, n long")
     return dealt.select("block", "id", "area").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(inside, "id_a long, pairs long")
+
+
+def _totals(panels: DataFrame, keys: list[str], min_ratio: float) -> DataFrame:
+    """keys, pairs, ratios: over all pairs of rows of equal keys, whatever their ids."""
+    cells = panels.groupBy(*keys, "area").agg(F.count("*").alias("n"))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("low", pa.array(limits(*_numpy(batch, "area"), min_ratio)[0]))
+
+    held = cells.mapInArrow(lowest, StructType([*cells.schema.fields, StructField("low", DoubleType())]))
+    # a row's limit lies in its own bucket or in the one before, whose rows are copied into it
+    bucket, none = F.floor(F.ln("area") / (1e-9 - math.log(min_ratio))), F.lit(0).cast("long")
+    mark = lambda at, x, count, sign: F.struct(at.alias("bucket"), F.col(x).alias("x"), count.alias("count"), F.lit(sign).alias("sign"))
+    marks = F.array(mark(bucket, "area", F.col("n"), 1), mark(bucket + 1, "area", F.col("n"), 0), mark(bucket, "low", none, -1))
+    events = held.select(*keys, "area", "n", F.explode(marks).alias("e")).select(*keys, "area", "n", "e.*")
+    before = Window.partitionBy(*keys, "bucket").orderBy("x", F.col("sign") >= 0).rowsBetween(Window.unboundedPreceding, -1)  # a limit comes before its equal area
+    sums = events.withColumns({"rows": F.coalesce(F.sum("count").over(before), none), "mass": F.coalesce(F.sum(F.col("count") * F.col("x")).over(before), F.lit(0.0))}).where("sign <> 0")
+    less = sums.groupBy(*keys, "bucket", "area", "n").agg(F.sum(F.col("sign") * F.col("rows")).alias("rows"), F.sum(F.col("sign") * F.col("mass")).alias("mass"))
+    equal = F.expr("n * (n - 1) div 2")
+    return less.groupBy(*keys).agg(F.sum(F.col("n") * F.col("rows") + equal).alias("pairs"), F.sum(F.col("n") * F.col("mass") / F.col("area") + equal).alias("ratios"))
+
+
+def panel_pair_totals(panels: DataFrame, scope: list[str], min_ratio: float = 0.65) -> DataFrame:
+    """panels: id, area and the scope columns; the scope, and of its pairs in panel_pairs() the number and the sum of their area ratios.
+
+    Equal areas of a scope are one cell. Running sums over the areas of two neighbouring buckets, up to a row and up to the least
+    area that may meet it, give both; pairs of rows that share an id are taken off again.
+    """
+    kept = panels.where("area > 0 AND id IS NOT NULL").where(F.lit(True) if not scope else reduce(and_, (F.col(c).isNotNull() for c in scope)))
+    kept = kept.select(*scope, "id", F.col("area").cast("double").alias("area"))
+    again = kept.join(kept.groupBy(*scope, "id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), [*scope, "id"], "left_semi")
+    off = _totals(again, [*scope, "id"], min_ratio).select(*scope, (-F.col("pairs")).alias("pairs"), (-F.col("ratios")).alias("ratios"))
+    both = _totals(kept, scope, min_ratio).unionByName(off)
+    return both.groupBy(*scope).agg(F.sum("pairs").alias("pairs"), F.sum("ratios").alias("ratios")).where("pairs > 0")

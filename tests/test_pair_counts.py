@@ -61,3 +61,22 @@ def test_each_panel_counts_pairs_without_forming_them(spark, one_size):
     got = QUERIES["panel_pair_bucketed"](spark, one_size)
     assert got.count() == 99_999
     assert got.where(F.col("pairs") != 99_999 - F.col("id_a") / 97).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["whole", "equal", "spread", "edges", "one low"])
+@pytest.mark.parametrize("scope", [["figure"], []])
+def test_totals_of_each_scope_against_a_loop(spark, kind, scope):
+    rows = odd_panels(kind)
+    want = {}
+    for p, q, ratio in pairs_by_loop(rows):
+        if not scope or p[2] == q[2] is not None:
+            n, total = want.get(p[2] if scope else None, (0, 0.0))
+            want[p[2] if scope else None] = (n + 1, total + ratio)
+    got = pair_counts.panel_pair_totals(spark.createDataFrame(rows, "id long, area double, figure string"), scope).collect()
+    assert {r["figure"] if scope else None: r["pairs"] for r in got} == {k: n for k, (n, _) in want.items()}
+    assert all(r["ratios"] == pytest.approx(want[r["figure"] if scope else None][1], rel=1e-12) for r in got)
+
+
+def test_pairs_of_a_figure_are_summed_without_forming_them(spark, one_size):
+    (row,) = QUERIES["panel_pair_same_figure"](spark, one_size).collect()
+    assert (row["figure"], row["pairs"], row["ratios"]) == ("one", 100_000 * 99_999 // 2, 100_000 * 99_999 / 2)
